@@ -34,7 +34,9 @@ from tokenizers import Tokenizer
 from tidelark.llm.common import small_batches, staged
 from tidelark.llm.token_count import byte_letters
 
-CAPACITY, END_ID, GROUPS = 1024, 2, 48
+CAPACITY, END_ID = 1024, 2
+#: Rounding wastes room: on lengths like the test tables' 48 groups need 1.5 % more sequences than the sum of tokens does, 1,000 groups 0.03 %.
+GROUPS = 1000
 GPT2_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
