@@ -34,7 +34,8 @@ KINDS = [*BASE, *ADDED]
 
 #: Documents for learning, about; chosen by a hash of their id.
 SAMPLE_DOCS = 20_000
-SURE, ROUNDS, DAMPING, RIDGE = 0.8, 12, 0.3, 1e-2
+NEAR = 16  # characters between neighbours, at most
+SURE, ROUNDS, DAMPING, RIDGE = 0.75, 12, 0.3, 1e-2
 
 #: Fixed values of the contract. The look-behinds and the search from @ only spare a run from being tried at each of its characters.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -112,7 +113,7 @@ def nodes_of(text: str, base: list[Span]) -> list[Node]:
     if mailboxes:
         spans = [(m.start(), m.start() + len(m[0].rstrip(".-"))) for m in WORD.finditer(text)]
         new += [s for s in spans if text[s[0] : s[1]].lower() in mailboxes]
-    for start, stop in sorted(set(new)):
+    for start, stop in sorted(set(new), key=lambda x: (x[0], -x[1])):
         if mark.find(1, start, stop) < 0:
             mark[start:stop] = b"\x01" * (stop - start)
             found.append(Node(text, 0, start, stop))
@@ -120,7 +121,7 @@ def nodes_of(text: str, base: list[Span]) -> list[Node]:
 
 
 def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbours; skip edges between successive nodes of a key, so a token repeated often isn't paired with itself all over."""
+    """Chain edges between close neighbours; skip edges between successive nodes of a key, so a token repeated often isn't paired with itself all over."""
     last: dict[str, int] = {}
     skips = {}
     for i, n in enumerate(nodes):
@@ -128,7 +129,7 @@ def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int,
             if k in last:
                 skips[last[k], i] = None
             last[k] = i
-    return [(i, i + 1) for i in range(len(nodes) - 1)], list(skips)
+    return [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1].start - nodes[i].stop <= NEAR], list(skips)
 
 
 def one_hot(shape: tuple) -> np.ndarray:
@@ -224,6 +225,7 @@ def fit(counts: dict[tuple, int]) -> Field:
         p[np.arange(len(y)), y] -= 1
         unary -= 1.0 * (x.T @ (p * w[:, None]) + RIDGE * unary)
 
+    # The priors: labels of neighbours are independent; tokens that repeat are a hundred times as likely to agree.
     def pairs(kind: str, prior: np.ndarray) -> np.ndarray:
         table = prior.copy()
         for k, c in counts.items():
@@ -233,7 +235,7 @@ def fit(counts: dict[tuple, int]) -> Field:
         share = table / table.sum()
         return np.clip(np.log(share / np.outer(share.sum(1), share.sum(0))), -4, 4)
 
-    return Field(unary, pairs("chain", np.ones((n, n))), pairs("skip", np.full((n, n), 0.05) + np.eye(n)))
+    return Field(unary, pairs("chain", np.full((n, n), 20.0)), pairs("skip", np.full((n, n), 0.01) + np.eye(n)))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:

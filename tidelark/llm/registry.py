@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelark.llm import decontaminate, packing, simhash, token_count, url_filter
+from tidelark.llm import decontaminate, html_text, language, nearest, packing, pii, secrets, simhash, token_count, url_filter
+from tidelark.llm.common import span_digest
 
 TOKEN_LIMIT = 512
 
@@ -17,14 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.select("doc_id", *[c.alias(k) for k, c in span_digest(F.col("spans"), secrets.BASE).items()])
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[c.alias(k) for k, c in span_digest(F.col("spans"), pii.BASE).items()])
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.html_text(table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -41,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filter, op6_best_fit_packing, op8_decontaminate, op9_token_count, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_url_filter, op3_language, op4_nearest, op5_pii, op6_best_fit_packing, op7_html_text, op8_decontaminate, op9_token_count, op10_simhash)}
 
 URL_SQL = """
 WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
