@@ -8,6 +8,9 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidelark.session import ship
 
 #: Rows and bytes of one Arrow batch; a single longer text still goes through whole.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
@@ -39,7 +42,8 @@ def unstage(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows and bytes, so that very long texts don't fill a worker's memory."""
+    """Bounds Arrow batches by rows and bytes, so that very long texts don't fill a worker's memory; executors get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
@@ -53,7 +57,7 @@ def map_texts(df: DataFrame, make, schema: str, id_col: str, text_col: str, bina
     text = F.col(text_col).cast("binary" if binary else "string")
     pair = df.select(F.col(id_col).alias("id"), text.alias("text"))
     kind = dict(pair.dtypes)["id"]
-    names = [id_col, *(x.split()[0] for x in schema.split(", "))]
+    names = [id_col, *StructType.fromDDL(schema).fieldNames()]
 
     def run(batches):
         f = make()
@@ -75,5 +79,9 @@ def joined_spans(spans: Column) -> Column:
 def span_digest(spans: Column, kinds: list[str]) -> dict[str, Column]:
     """The digest columns of a span contract: a count for each base kind, base_sha256 and spans."""
     base = F.filter(spans, lambda s: s["kind"].isin(kinds))
-    counts = {f"n_{k}": F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long") for k in kinds}
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": of(k) for k in kinds}
     return counts | {"base_sha256": F.sha2(joined_spans(base), 256), "spans": joined_spans(spans)}

@@ -37,7 +37,7 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def document_counts(docs: DataFrame, vocabulary: frozenset[bytes], id_col: str, text_col: str) -> dict[bytes, int]:
+def document_counts(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str) -> dict[bytes, int]:
     """In how many documents each word of a block's vocabulary occurs."""
     small_batches(docs.sparkSession)
 
@@ -54,50 +54,55 @@ def document_counts(docs: DataFrame, vocabulary: frozenset[bytes], id_col: str,
     return {bytes(r.word): r.n for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+#: Columns that a row carries between passes.
+_TEXT, _SPANS, _ITEMS = "_benchmark_text", "_benchmark_spans", "_benchmark_items"
+
+
+def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """One row per document: id, n_words, n_hit (words inside an occurring window) and item_ids (sorted, distinct).
 
-    Null and empty texts have no words; items with a null id, or without words,
-    take no part; an item id with several texts has the windows of all of them.
-    Repeated documents are judged each; no other column is read.
+    With `carry`, all columns of the documents stand before these in place of
+    the id alone; those of the same names give way. Null and empty texts have
+    no words; items with a null id, or without words, take no part; an item id
+    with several texts has the windows of all of them. Repeated documents are
+    judged each.
     """
     kept = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("item is not null and text is not null").distinct()
     item_kind = dict(kept.dtypes)["item"]
     total = kept.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    blocks = -(-total // block_bytes)
-    found = None
-    for block in range(max(1, blocks)):
-        part = kept if blocks <= 1 else kept.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+    blocks = max(1, -(-total // block_bytes))
+    own = [F.col(c) for c in docs.columns if c not in ("n_words", "n_hit", "item_ids")] if carry else [F.col(id_col)]
+    found = docs.select(*own, F.col(text_col).cast("binary").alias(_TEXT), F.array().cast("array<bigint>").alias(_SPANS), F.array().cast(f"array<{item_kind}>").alias(_ITEMS))
+    for block in range(blocks):
+        part = kept if blocks == 1 else kept.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         windows: dict[tuple[bytes, ...], list] = {}
         for r in part.collect():
             for w in windows_of(words_of(r.text), size):
                 windows.setdefault(w, []).append(r["item"])
-        windows = {w: sorted(set(ids)) for w, ids in windows.items()}
-        counts = document_counts(docs, frozenset(x for w in windows for x in w), id_col, text_col) if windows else {}
+        counts = document_counts(docs, frozenset(x for w in windows for x in w), text_col) if windows else {}
         prefixes: dict[bytes, set[tuple[int, int]]] = {}
         index: dict[tuple[bytes, ...], list] = {}
         for w, ids in windows.items():
             at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
             if counts.get(w[at]):  # else no document holds that word
-                index[w] = ids
+                index[w] = sorted(set(ids))
                 prefixes.setdefault(w[at], set()).add((at, len(w)))
-        found = _pass(found, docs, docs.sparkSession.sparkContext.broadcast((index, {w: sorted(x) for w, x in prefixes.items()})), item_kind, id_col, text_col, last=block + 1 >= blocks)
+        found = _pass(found, docs.sparkSession.sparkContext.broadcast((index, {w: sorted(x) for w, x in prefixes.items()})), last=block + 1 == blocks)
     return found
 
 
-def _pass(found: DataFrame | None, docs: DataFrame, shared, item_kind: str, id_col: str, text_col: str, last: bool) -> DataFrame:
-    """Adds a block's hits. Between passes a row carries its text and the hits so far."""
-    small_batches(docs.sparkSession)
-    if found is None:
-        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.array().cast("array<bigint>").alias("spans"), F.array().cast(f"array<{item_kind}>").alias("items"))
-    id_kind = dict(found.dtypes)["id"]
-    schema = f"`{id_col}` {id_kind}, n_words long, n_hit long, item_ids array<{item_kind}>" if last else f"id {id_kind}, text binary, spans array<bigint>, items array<{item_kind}>"
+def _pass(found: DataFrame, shared, last: bool) -> DataFrame:
+    """Adds a block's hits to those so far; the last pass turns them into the result's columns."""
+    small_batches(found.sparkSession)
+    kinds = dict(found.dtypes)
+    hidden = (_TEXT, _SPANS, _ITEMS)
+    columns = {c: k for c, k in kinds.items() if c not in hidden} | ({"n_words": "bigint", "n_hit": "bigint", "item_ids": kinds[_ITEMS]} if last else {c: kinds[c] for c in hidden})
 
     def run(batches):
         index, prefixes = shared.value
         keys = frozenset(prefixes)
         for batch in batches:
-            ids, texts, spans, items = batch.columns
+            texts, spans, items = (batch.column(c) for c in hidden)
             n_words, n_hit, all_spans, all_items = [], [], [], []
             for text, before, had in zip(texts.to_pylist(), spans.to_pylist(), items.to_pylist()):
                 words, hits, named = words_of(text), list(before), set(had)
@@ -114,10 +119,10 @@ def _pass(found: DataFrame | None, docs: DataFrame, shared, item_kind: str, id_c
                 all_spans.append(hits)
                 all_items.append(sorted(named))
             named = pa.array(all_items, items.type)
-            out = [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), named] if last else [ids, texts, pa.array(all_spans, pa.list_(pa.int64())), named]
-            yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_words", "n_hit", "item_ids"] if last else ["id", "text", "spans", "items"])
+            new = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), named] if last else [texts, pa.array(all_spans, pa.list_(pa.int64())), named]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c not in hidden] + new, names=list(columns))
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in columns.items()))
 
 
 def _covered(ends: list[int]) -> int:

@@ -87,14 +87,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def units(text: str, logs: np.ndarray, unit: int = UNIT) -> np.ndarray:
-    """Log-likelihood of each unit in each language; the whole text is read, a chunk at a time."""
-    out, chunk = [], max(1 << 12, HELD // logs.shape[1])
+def units(text: str, logs: np.ndarray, unit: int = UNIT) -> tuple[np.ndarray, int]:
+    """Log-likelihood of each unit in each language, and the number of trigrams; the whole text is read, a chunk at a time."""
+    out, n, chunk = [], 0, max(1 << 12, HELD // logs.shape[1])
     for i in range(0, len(text), chunk):
         grams = trigrams(text[i : i + chunk])
         if len(grams):
             out.append(np.add.reduceat(logs[grams], np.arange(0, len(grams), unit), axis=0))
-    return np.concatenate(out) if out else np.empty((0, logs.shape[1]), np.float32)
+            n += len(grams)
+    return np.concatenate(out) if out else np.empty((0, logs.shape[1]), np.float32), n
 
 
 def mixture(like: np.ndarray, owner: np.ndarray, n_docs: int, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
@@ -137,11 +138,15 @@ def mixture(like: np.ndarray, owner: np.ndarray, n_docs: int, rounds: int = ROUN
     return out
 
 
-def predict(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], list[float]]:
-    """Language and proportion of each text; `und` and 0 for null ones, ones without letters, and if no language is known."""
-    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def predict(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+    """Language, proportion and fit of each text; `und`, 0 and 0 for null ones, ones without letters, and if no language is known.
+
+    The fit is the mean log-likelihood of a trigram in the most likely language
+    less that under equally likely buckets: below 0, no language explains the text.
+    """
+    names, scores, fits = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if not langs:
-        return names, scores
+        return names, scores, fits
     at, likes = [], []
 
     def flush():
@@ -153,16 +158,18 @@ def predict(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tupl
 
     held = 0
     for i, text in enumerate(texts):
-        if text and has_letter(text) and len(u := units(text, logs)):
+        u, n = units(text, logs) if text and has_letter(text) else ((), 0)
+        if n:
             at.append(i)
             likes.append(u)
+            fits[i] = float(u.sum(axis=0, dtype=np.float64).max() / n + np.log(BUCKETS))
             held += u.size
             if held > HELD:
                 flush()
                 held = 0
     if at:
         flush()
-    return names, scores
+    return names, scores, fits
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -179,7 +186,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         langs, logs = shared.value
 
         def f(texts):
-            names, scores = predict(texts, langs, logs)
+            names, scores, _ = predict(texts, langs, logs)
             return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
         return f
