@@ -80,4 +80,18 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (k)
 """
 
-ORACLE: dict[str, str] = {"op2_url_filter": URL_SQL}
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+BENCHMARK_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (SELECT DISTINCT item_id, w[j:least(j + 9, len(w))] AS win FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS j FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
+spots AS (SELECT k, n, w, unnest(generate_series(1, len(w) - n + 1)) AS j FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT a.k, a.j, a.n, x.item_id FROM spots a JOIN wins x ON x.win = a.w[a.j:a.j + a.n - 1]),
+pos AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(generate_series(j, j + n - 1)) AS p FROM hits) GROUP BY k),
+its AS (SELECT k, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items_sha256 FROM hits GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (k) LEFT JOIN its USING (k)
+"""
+
+ORACLE: dict[str, str] = {"op2_url_filter": URL_SQL, "op8_decontaminate": BENCHMARK_SQL}
