@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard.
 
 Distinct vectors are dealt into shards of bounded size by a hash. A shard's
-graph grows by batches: greedy beam searches from the entry propose neighbours
-for the new points; pruning keeps, nearest first, those no kept one is closer
+graph grows by batches: greedy beam searches from spread entries propose
+neighbours for the new points; pruning keeps, nearest first, those no kept one is closer
 to by a factor (relaxed), so that edges stay diverse; reverse edges are added
-and pruned alike. A query runs a beam search in every shard, whose finds are
+and pruned alike. Points that no path reaches get an edge from the nearest
+that has one. Entries lie far from each other, so that a dense group doesn't
+hold a search that begins in it. A query runs a beam search in every shard, whose finds are
 measured again in double precision on the original vectors and merged.
 
 Copies of a vector are one point of the graph that carries the smallest ids of
@@ -22,24 +24,29 @@ from pyspark.sql import functions as F
 from tidelark.llm.common import small_batches, staged
 
 #: Points of a shard, about; out-edges; width of the beam while building and searching; relaxation.
-SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 32, 48, 96, 1.2
+SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 32, 64, 128, 1.2
+#: Where searches begin; further edges a point may get from unreached ones.
+ENTRIES, SPARE = 32, 4
 #: Queries that are searched together in a shard.
 QUERY_BLOCK = 32_768
 _EXPAND, _LOCKSTEP = 4, 256
 
 
-def beam_search(points: np.ndarray, norms: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def beam_search(points: np.ndarray, norms: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest found (queries x beam, -1 past the end), their squared distances, and the points expanded on the way."""
     b, n = len(queries), len(points)
     rows = np.arange(b)[:, None]
     q_norms = np.einsum("ij,ij->i", queries, queries)
+    entries = entries[:beam]
     ids = np.full((b, beam), -1, np.int64)
     far = np.full((b, beam), np.inf, np.float32)
-    open_ = np.zeros((b, beam), bool)
-    ids[:, 0], open_[:, 0] = entry, True
-    far[:, 0] = norms[entry] + q_norms - 2 * queries @ points[entry]
+    ids[:, : len(entries)] = entries
+    far[:, : len(entries)] = norms[entries] + q_norms[:, None] - 2 * queries @ points[entries].T
+    order = np.argsort(far, axis=1, kind="stable")
+    ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
+    open_ = ids >= 0
     seen = np.zeros((b, n + 1), bool)
-    seen[:, entry] = seen[:, n] = True
+    seen[:, entries] = seen[:, n] = True
     tag = np.zeros((b, n + 1), np.int32)
     trail = []
     while open_.any():
@@ -99,22 +106,59 @@ def robust_prune(points: np.ndarray, own: np.ndarray, found: np.ndarray, degree:
     return out
 
 
-def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, int]:
-    """Edges (points x degree, -1 past the end) and the entry point, the one nearest the mean."""
+def spread(points: np.ndarray, n: int) -> np.ndarray:
+    """The point nearest the mean, then again and again the one farthest from those taken."""
+    out = [int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())]
+    far = ((points - points[out[0]]) ** 2).sum(axis=1)
+    while len(out) < min(n, len(points)) and far.max() > 0:
+        out.append(int(far.argmax()))
+        far = np.minimum(far, ((points - points[out[-1]]) ** 2).sum(axis=1))
+    return np.array(out)
+
+
+def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (points x (degree + spare), -1 past the end) and the entries."""
     n = len(points)
     edges = np.full((n, degree), -1, np.int64)
     norms = np.einsum("ij,ij->i", points, points)
-    entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    entries = spread(points, ENTRIES)
     order = np.random.default_rng(seed).permutation(n)
-    order = np.concatenate([[entry], order[order != entry]])
-    done = 1
-    while done < n:
-        batch = order[done : done + min(_LOCKSTEP, done)]
-        ids, _, trail = beam_search(points, norms, edges, entry, points[batch], beam)
-        edges[batch] = robust_prune(points, batch, np.concatenate([ids, trail], axis=1), degree, alpha)
-        _reverse(points, edges, batch, degree, alpha)
-        done += len(batch)
-    return edges, entry
+    order = np.concatenate([entries, order[~np.isin(order, entries)]])
+    for again in (False, True):  # the second pass sees the whole graph, so early points find late neighbours
+        done = 0 if again else 1
+        while done < n:
+            batch = order[done : done + (_LOCKSTEP if again else min(_LOCKSTEP, done))]
+            ids, _, trail = beam_search(points, norms, edges, entries if again else entries[:done], points[batch], beam)
+            edges[batch] = robust_prune(points, batch, np.concatenate([ids, trail, edges[batch]], axis=1), degree, alpha)
+            _reverse(points, edges, batch, degree, alpha)
+            done += len(batch)
+    edges = np.concatenate([edges, np.full((n, SPARE), -1, np.int64)], axis=1)
+    _reach(points, edges, entries)
+    return edges, entries
+
+
+def _reach(points: np.ndarray, edges: np.ndarray, entries: np.ndarray) -> None:
+    """Makes every point reachable: one that isn't gets an edge from the nearest reached one with a spare place."""
+    reached = np.zeros(len(points), bool)
+
+    def walk(start: np.ndarray) -> None:
+        while len(start):
+            reached[start] = True
+            start = np.unique(edges[start])
+            start = start[start >= 0]
+            start = start[~reached[start]]
+
+    walk(entries)
+    while not reached.all():
+        lost = int(np.flatnonzero(~reached)[0])
+        d = ((points - points[lost]) ** 2).sum(axis=1)
+        d[~reached | (edges[:, -1] >= 0)] = np.inf
+        near = int(d.argmin())
+        if not np.isfinite(d[near]):  # no place is left anywhere; the farthest edge of the nearest gives way
+            near = int(np.where(reached, ((points - points[lost]) ** 2).sum(axis=1), np.inf).argmin())
+        free = np.flatnonzero(edges[near] < 0)
+        edges[near, free[0] if len(free) else -1] = lost
+        walk(np.array([lost]))
 
 
 def _reverse(points: np.ndarray, edges: np.ndarray, batch: np.ndarray, degree: int, alpha: float) -> None:
@@ -122,6 +166,10 @@ def _reverse(points: np.ndarray, edges: np.ndarray, batch: np.ndarray, degree: i
     source = np.repeat(batch, degree)
     target = edges[batch].ravel()
     source, target = source[target >= 0], target[target >= 0]
+    new = ~(edges[target] == source[:, None]).any(axis=1)
+    source, target = source[new], target[new]
+    if not len(source):
+        return
     order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
     nodes, first, n_in = np.unique(target, return_index=True, return_counts=True)
@@ -173,9 +221,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
 
     def index(table: pa.Table) -> pa.Table:
-        edges, entry = build(_matrix(table["v"], np.float32))
+        edges, entries = build(_matrix(table["v"], np.float32))
         listed = pa.FixedSizeListArray.from_arrays(pa.array(edges.ravel()), edges.shape[1]).cast(pa.list_(pa.int64()))
-        return table.append_column("edges", listed).append_column("entry", pa.array(np.arange(len(edges)) == entry))
+        return table.append_column("edges", listed).append_column("entry", pa.array(np.isin(np.arange(len(edges)), entries)))
 
     sharded = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
     graphs = sharded.groupBy("dim", "shard").applyInArrow(index, f"v array<double>, members array<{kind}>, dim int, shard long, edges array<bigint>, entry boolean")
@@ -190,11 +238,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             shard = shard.sort_by("at")
             exact, wanted = _matrix(shard["v"]), _matrix(asked["v"])
             points, edges = exact.astype(np.float32), _matrix(shard["edges"], np.int64)
-            norms, entry = np.einsum("ij,ij->i", points, points), int(np.asarray(shard["entry"]).argmax())
+            norms, entries = np.einsum("ij,ij->i", points, points), np.flatnonzero(np.asarray(shard["entry"]))
             members, names = shard["members"].to_pylist(), asked["id"].to_pylist()
             for i in range(0, len(wanted), _LOCKSTEP):
                 block = wanted[i : i + _LOCKSTEP]
-                found, _, _ = beam_search(points, norms, edges, entry, block.astype(np.float32), max(beam, k + 1))
+                found, _, _ = beam_search(points, norms, edges, entries, block.astype(np.float32), max(beam, k + 1))
                 d = np.sqrt(((exact[np.maximum(found, 0)] - block[:, None]) ** 2).sum(axis=2))
                 d[found < 0] = np.inf
                 for name, row, far in zip(names[i : i + _LOCKSTEP], found, d):
