@@ -153,12 +153,12 @@ class Boosting:
 def _best_split(g: np.ndarray, h: np.ndarray, miss: tuple[float, float], p: Boosting) -> tuple[float, int, bool] | None:
     """Gain, last bin on the left, and whether the missing go left; from a node's sums by bin."""
     all_g, all_h = g.sum() + miss[0], h.sum() + miss[1]
-    score = lambda a, b: a * a / (b + p.ridge)
+    score = lambda a, b: a * a / np.maximum(b + p.ridge, 1e-300)
     best = None
     for left in (True, False):
         lg, lh = np.cumsum(g)[:-1] + left * miss[0], np.cumsum(h)[:-1] + left * miss[1]
         rg, rh = all_g - lg, all_h - lh
-        gain = np.where((lh >= p.min_child_weight) & (rh >= p.min_child_weight), (score(lg, lh) + score(rg, rh) - score(all_g, all_h)) / 2 - p.gamma, -np.inf)
+        gain = np.where((np.minimum(lh, rh) > 0) & (lh >= p.min_child_weight) & (rh >= p.min_child_weight), (score(lg, lh) + score(rg, rh) - score(all_g, all_h)) / 2 - p.gamma, -np.inf)
         if len(gain) and gain.max() > 1e-12 and (best is None or gain.max() > best[0] + 1e-12):
             best = float(gain.max()), int(gain.argmax()), left
     return best

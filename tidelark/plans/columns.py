@@ -297,3 +297,18 @@ def grid_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     axes = {"a": [0, 1, 2], "b": [0.1, 0.2, 0.3, 0.5], "c": [0, 10, 20, 30, 40]}
     return spark.range(60).select(F.col("id").alias("index"), *[c.alias(k) for k, c in grids.decoded(F.col("id"), axes).items()])
+
+
+@query()
+def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trains a small ensemble on all rows and evaluates it on them."""
+    rows = lines(spark, sf_dir)
+    model = trees.fit(rows, ["l_quantity", "net", "gap"], "target", trees.Boosting(rounds=3, depth=2, bins=16))
+    return metrics.evaluated(trees.scored(rows, model), (F.col("prob") >= 0.45).cast("int"), F.col("target"))
+
+
+@query()
+def shapley_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelark.operators import selection
+
+    return selection.shapley(lines(spark, sf_dir), trees.fit(lines(spark, sf_dir), ["l_quantity", "net"], "target", trees.Boosting(rounds=2, depth=2, bins=8)), ["l_quantity", "net"])
