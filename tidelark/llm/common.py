@@ -1,38 +1,20 @@
-"""Plumbing shared by the corpus operators: shared folders, Arrow maps, span columns."""
+"""Plumbing shared by the corpus operators: staged tables, Arrow maps, span columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelark.session import ship
+from tidelark.session import ship, staged
+
+__all__ = ["map_texts", "small_batches", "staged", "unstage"]
 
 #: Rows and bytes of one Arrow batch; a single longer text still goes through whole.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidelark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the shared folder and read back, so that lost executors don't mean recomputing it."""
-    path = f"{shared_dir(df.sparkSession)}/tidelark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unstage(df: DataFrame) -> None:
     """Deletes what `staged` wrote, once nothing reads it any more."""
     spark = df.sparkSession
