@@ -131,7 +131,7 @@ def test_sweep_counts(spark):
 
 
 def test_whole_run(learnable):
-    run = pipeline.Run(learnable, ["strong", "noise", "weak"], pipeline.Settings(model_budget=1, sweep_budget=3, boosting=Boosting(rounds=3, depth=2, bins=16), valid=0.25, test=0.2), groups={"strong": "emg_contact", "noise": "emg_activity", "weak": "emg_frequency"})
+    run = pipeline.Run(learnable, ["strong", "noise", "weak"], pipeline.Settings(model_budget=1, sweep_budget=3, boosting=Boosting(rounds=2, depth=2, bins=8), valid=0.25, test=0.2, n_folds=2), groups={"strong": "emg_contact", "noise": "emg_activity", "weak": "emg_frequency"})
     assert pipeline.execute(run, dry_run=True, stop_after="train") == ["split", "gate", "select", "train"]
     with pytest.raises(ValueError):
         pipeline.execute(run, skip=["nothing"])
@@ -143,3 +143,26 @@ def test_whole_run(learnable):
     assert run.reports["errors"].count() and run.reports["ood"].count() == 40
     with pytest.raises(ValueError):
         Bundle.from_json("{}")
+
+
+@pytest.mark.parametrize("taken", [50_000, 7])
+def test_quantiles_are_exact(spark, monkeypatch, taken):
+    """Also where brackets must be narrowed again and again."""
+    monkeypatch.setattr(stats, "TAKEN", taken)
+    rng = np.random.default_rng(5)
+    a, b = rng.lognormal(0, 3, 4000), rng.integers(0, 3, 4000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y), None, float("nan")) for x, y in zip(a, b)], "a double, b double, none double, nan double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    got = stats.quantiles(df, ["a", "b", "none", "nan"], shares)
+    assert got["a"] == pytest.approx(np.quantile(a, shares).tolist()) and got["b"] == pytest.approx(np.quantile(b, shares).tolist())
+    assert got["none"] == got["nan"] == [None] * 6
+
+
+def test_auc_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 3000)
+    x = np.where(rng.random(3000) < 0.3, 1.0, rng.normal(y * 0.7, 1).round(2))
+    df = spark.createDataFrame([(float(v), int(t)) for v, t in zip(x, y)], "x double, y int")
+    pos, neg = x[y == 1], x[y == 0]
+    want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert metrics.ranked_auc(df, ["x"], "y").first()["auc"] == pytest.approx(want)

@@ -300,16 +300,23 @@ def resampled(x: np.ndarray, up: int, down: int) -> np.ndarray:
 # Entropy
 
 
-def template_matches(x: np.ndarray, m: int, r: float) -> float:
-    """Ordered pairs of different templates of m values that differ by r at most anywhere."""
-    t = sliding_window_view(x, m)[: len(x) - m]
-    total = 0
-    for i in range(0, len(t), 512):
-        near = np.ones((len(t[i : i + 512]), len(t)), bool)
-        for k in range(m):
-            near &= np.abs(t[i : i + 512, k, None] - t[None, :, k]) <= r
-        total += int(near.sum())
-    return float(total - len(t))
+def template_matches(x: np.ndarray, sizes: tuple[int, ...], r: float) -> list[float]:
+    """For each size m, ordered pairs of different templates of m values that differ by r at most anywhere.
+
+    Values are compared once; a template's match is a run along the diagonal.
+    """
+    n, most = len(x), max(sizes)
+    totals = [0] * len(sizes)
+    for i in range(0, n, 512):
+        near = np.abs(x[i : i + 512 + most - 1, None] - x[None, :]) <= r
+        for k, m in enumerate(sizes):
+            rows = min(512, n - m - i)
+            if rows > 0:
+                run = near[:rows, : n - m]
+                for j in range(1, m):
+                    run = run & near[j : j + rows, j : j + n - m]
+                totals[k] += int(np.count_nonzero(run))
+    return [float(t - max(0, n - m)) for t, m in zip(totals, sizes)]
 
 
 def sample_entropy(x: np.ndarray, least: int = 10) -> float:
@@ -317,5 +324,5 @@ def sample_entropy(x: np.ndarray, least: int = 10) -> float:
     r = 0.2 * x.std()
     if len(x) < least or r < EPS:
         return 0.0
-    b, a = template_matches(x, 2, r), template_matches(x, 3, r)
+    b, a = template_matches(x, (2, 3), r)
     return float(-math.log(a / (b + EPS))) if a > 0 and b > 0 else 0.0

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelark.operators.grids import attached
+from tidelark.operators.stats import quantiles
 
 
 def round_robin(df: DataFrame, group: str, n_folds: int = 5, seed: int = 42) -> DataFrame:
@@ -44,8 +45,8 @@ def hard_negatives(df: DataFrame, prob: str, target: str, least: float = 0.5, to
     """Adds weight and reason: negatives whose out-of-fold probability reaches the least, or the quantile that leaves the top share."""
     share = min(max(top, 0.0), 1.0)
     negative = (F.col(target) == 0) & F.col(prob).isNotNull() & ~F.isnan(prob)
-    cut = df.where(negative).agg(F.percentile(prob, F.lit(1.0 - share)).alias("_cut"))
-    rows = attached(df, cut)
+    cut = quantiles(df.where(negative), [prob], [1.0 - share])[prob][0]
+    rows = df.withColumn("_cut", F.lit(cut).cast("double"))
     by_prob = negative & (F.col(prob) >= least)
     by_top = negative & F.coalesce(F.col(prob) >= F.col("_cut"), F.lit(False)) if share > 0 else F.lit(False)
     reason = F.when(by_prob & by_top, "probability_and_top_percentile").when(by_prob, "probability").when(by_top, "top_percentile")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelark.functions import arrays as A
 from tidelark.operators.grids import each
+from tidelark.operators.stats import quantiles
 from tidelark.operators.windows import whole, windowed
 
 def gate_features(df: DataFrame, key: str, idx: str, value: str, size: int, stride: int) -> DataFrame:
@@ -96,9 +97,9 @@ def best(evaluated: DataFrame) -> DataFrame:
 
 def grid(df: DataFrame, dc_points: int = 5, ratio_points: int = 5) -> list[tuple[float, float]]:
     """Candidate pairs: quantiles of the windows' features, distinct."""
-    shares = lambda n: F.array(*[F.lit((i + 1) / (n + 1)) for i in range(n)])
-    row = df.agg(F.percentile("dc", shares(dc_points)).alias("d"), F.percentile("ac_dc_ratio", shares(ratio_points)).alias("r")).first()
-    return [(d, r) for d in dict.fromkeys(row["d"] or []) for r in dict.fromkeys(row["r"] or [])]
+    shares = lambda n: [(i + 1) / (n + 1) for i in range(n)]
+    d, r = quantiles(df, ["dc"], shares(dc_points))["dc"], quantiles(df, ["ac_dc_ratio"], shares(ratio_points))["ac_dc_ratio"]
+    return [(x, y) for x in dict.fromkeys(d) for y in dict.fromkeys(r) if x is not None and y is not None]
 
 
 def train_thresholds(dc: float, ratio: float) -> tuple[float, float]:

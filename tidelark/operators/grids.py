@@ -28,6 +28,18 @@ def product_of(**axes: Sequence) -> list[dict]:
     return [dict(zip(axes, values)) for values in product(*axes.values())]
 
 
+def bin_number(c: Column, bounds: Sequence[float]) -> Column:
+    """How many of the rising bounds a value reaches; null for null. A balanced tree of comparisons, compiled with the plan."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(c < F.lit(bounds[middle]), within(low, middle)).otherwise(within(middle + 1, high))
+
+    return F.when(c.isNotNull(), within(0, len(bounds)))
+
+
 def postprocess_grid(offsets: Sequence[float] = (0.0,)) -> list[dict]:
     """The full sweep of postprocessing; fixed values."""
     grid = product_of(

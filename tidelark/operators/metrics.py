@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelark.operators.grids import each
-from tidelark.operators.stats import unpivoted
+from tidelark.operators.grids import bin_number, each
+from tidelark.operators.stats import finite
 
 
 def confusion(pred: Column, target: Column) -> dict[str, Column]:
@@ -57,7 +57,7 @@ def swept(df: DataFrame, prob: str, target: str, at: Sequence[float]) -> DataFra
     one pass, whatever the number of thresholds, and a result no larger than theirs.
     """
     at = sorted(at)
-    reached = F.aggregate(F.array(*map(F.lit, at)), F.lit(0), lambda n, t: n + F.coalesce(F.col(prob) >= t, F.lit(False)).cast("int"))
+    reached = F.coalesce(bin_number(F.col(prob), at), F.lit(0))
     binned = df.select(reached.alias("_reached"), F.col(target).alias("_target")).groupBy("_reached").agg(F.count_if(F.col("_target") == 1).alias("_p"), F.count_if(F.col("_target") == 0).alias("_n"))
     spread = each(binned, [{"rank": i, "threshold": float(t)} for i, t in enumerate(at)])
     hit = F.col("_reached") > F.col("rank")
@@ -74,15 +74,31 @@ def best_threshold(sweep: DataFrame, objective: str = "f1", beta: float = 0.5, m
     return scored.orderBy(F.col("score").desc(), "rank").limit(1)
 
 
+#: Ranges that ranks are summed in.
+RANGES = 64
+
+
 def ranked_auc(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """feature, auc, separation (auc or its complement), by rank sums with ties at their mean rank; null with one class.
 
-    Values are counted first, so ranks are sums over distinct values, however often each occurs.
+    Values are counted first, so ranks are sums over distinct values. They are
+    dealt into ranges of like numbers of values: ranks within a range come
+    from its own rows, those of whole ranges from their totals, so no task
+    sorts a feature alone.
     """
-    counted = unpivoted(df, features, [target]).where("x is not null").groupBy("feature", "x").agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n"))
-    below = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    wins = counted.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    sums = wins.groupBy("feature").agg(F.sum(F.col("p").cast("double") * (F.col("under") + F.col("n") * F.lit(0.5))).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    x = {c: finite(F.col(c).cast("double")) for c in features}
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    row = df.agg(*[F.percentile_approx(x[c], shares, F.lit(1000)).alias(f"b{i}") for i, c in enumerate(features)]).first()
+    bounds = [sorted(set(row[f"b{i}"] or [])) for i in range(len(features))]
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_number(x[c], bounds[i]).alias("range"), x[c].alias("x")) for i, c in enumerate(features)])
+    long = df.select(F.col(target).alias("_y"), F.explode(cells).alias("c")).select("c.*", "_y").where("x is not null")
+    counted = long.groupBy("feature", "range", "x").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count_if(F.col("_y") == 0).alias("n"))
+    before = Window.partitionBy("feature", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    inner = counted.withColumn("under", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranges = inner.groupBy("feature", "range").agg(F.sum(F.col("p").cast("double") * (F.col("under") + F.col("n") * F.lit(0.5))).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    below = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    wins = ranges.withColumn("u", F.col("u") + F.col("p").cast("double") * F.coalesce(F.sum("n").over(below), F.lit(0)))
+    sums = wins.groupBy("feature").agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     auc = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p").cast("double") * F.col("n")))
     return sums.select("feature", auc.alias("auc"), F.greatest(auc, 1 - auc).alias("separation"))
 

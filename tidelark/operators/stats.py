@@ -32,10 +32,75 @@ def missing_rates(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return unpivoted(df, features).groupBy("feature").agg(F.avg(F.col("x").isNull().cast("double")).alias("missing_rate"))
 
 
+#: Half the width, in ranks' share, of the bracket around a quantile; distinct values in a bracket that the driver takes.
+BRACKET, TAKEN = 1 / 2000, 50_000
+
+
 def quantiles(df: DataFrame, features: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles of each feature in one pass; the result is one row."""
-    row = df.agg(*[F.percentile(finite(c), F.array(*[F.lit(float(q)) for q in shares])).alias(c) for c in features]).first()
-    return {c: row[c] or [None] * len(shares) for c in features}
+    """Exact quantiles with linear interpolation, at any number of rows; null without a finite value.
+
+    A sketch brackets each quantile. One pass counts what lies below and in the
+    brackets; while a bracket holds too many distinct values, a sketch of it
+    alone narrows it. The counts of what is left, a bounded number of values,
+    give the order statistics. No task ever holds a column's values.
+    """
+    x = {c: finite(F.col(c).cast("double")) for c in features}
+    listed = lambda qs: F.array(*[F.lit(min(max(q, 0.0), 1.0)) for q in qs])
+    around = [q + d for q in shares for d in (-BRACKET, BRACKET)]
+    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(features)], *[F.percentile_approx(x[c], listed(around), F.lit(10_000)).alias(f"b{i}") for i, c in enumerate(features)]).first()
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in features}
+    open_ = []
+    for i, c in enumerate(features):
+        n = first[f"n{i}"]
+        for j, q in enumerate(shares if n else []):
+            at = (n - 1) * q
+            low, high = first[f"b{i}"][2 * j : 2 * j + 2]
+            open_.append({"c": c, "j": j, "at": at, "r": (int(at), min(int(at) + 1, n - 1)), "low": low, "high": high})
+    while open_:
+        inside = [(x[k["c"]] >= k["low"]) & (x[k["c"]] <= k["high"]) for k in open_]
+        row = df.agg(
+            *[F.count_if(x[k["c"]] < k["low"]).alias(f"u{i}") for i, k in enumerate(open_)], *[F.count_if(w).alias(f"m{i}") for i, w in enumerate(inside)],
+            *[F.approx_count_distinct(F.when(w, x[k["c"]])).alias(f"d{i}") for i, (k, w) in enumerate(zip(open_, inside))],
+        ).first()
+        ready, narrow = [], []
+        for i, k in enumerate(open_):
+            k["under"], k["size"] = row[f"u{i}"], row[f"m{i}"]
+            if k["under"] > k["r"][0]:
+                k["low"] = -float("inf")  # the sketch was off
+                narrow.append(k)
+            elif k["r"][1] >= k["under"] + k["size"]:
+                k["high"] = float("inf")
+                narrow.append(k)
+            else:
+                (ready if row[f"d{i}"] <= TAKEN else narrow).append(k)
+        if ready:
+            hit = F.array(*[F.when((x[k["c"]] >= k["low"]) & (x[k["c"]] <= k["high"]), F.struct(F.lit(i).alias("b"), x[k["c"]].alias("x"))) for i, k in enumerate(ready)])
+            counts = df.select(F.explode(F.filter(hit, lambda h: h.isNotNull())).alias("h")).groupBy("h.b", "h.x").count().collect()
+            by: dict[int, list[tuple[float, int]]] = {}
+            for r in counts:
+                by.setdefault(r["b"], []).append((r["x"], r["count"]))
+            for i, k in enumerate(ready):
+                values, seen, found = sorted(by[i]), k["under"], []
+                for v, m in values:
+                    while len(found) < 2 and k["r"][len(found)] < seen + m:
+                        found.append(v)
+                    seen += m
+                out[k["c"]][k["j"]] = found[0] + (found[1] - found[0]) * (k["at"] - k["r"][0])
+        sketched = [k for k in narrow if np.isfinite(k["low"]) and np.isfinite(k["high"])]
+        if sketched:
+            parts = []
+            for i, k in enumerate(sketched):
+                at = (k["r"][0] - k["under"]) / k["size"]
+                parts.append(F.percentile_approx(F.when((x[k["c"]] >= k["low"]) & (x[k["c"]] <= k["high"]), x[k["c"]]), listed([at - BRACKET, at + BRACKET]), F.lit(10_000)).alias(f"b{i}"))
+            row = df.agg(*parts).first()
+            for i, k in enumerate(sketched):
+                k["low"], k["high"] = row[f"b{i}"]
+        for k in narrow:  # an open side is closed by a sketch of that side in the next round
+            if not (np.isfinite(k["low"]) and np.isfinite(k["high"])):
+                ends = df.agg(F.min(x[k["c"]]).alias("a"), F.max(x[k["c"]]).alias("b")).first()
+                k["low"], k["high"] = max(k["low"], ends["a"]), min(k["high"], ends["b"])
+        open_ = narrow
+    return out
 
 
 def median_fill(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -142,10 +207,11 @@ def quantile_bands(train: DataFrame, features: Sequence[str], low: float = 0.05,
 
 def quality_thresholds(train: DataFrame, features: Sequence[str], high: float = 0.99, low: float = 0.01) -> DataFrame:
     """feature, type, thr: names ending in _std must not be too high, the size of others not too low."""
-    x = unpivoted(train, features)
-    stats = x.groupBy("feature").agg(F.percentile("x", F.lit(high)).alias("up"), F.percentile(F.abs("x"), F.lit(low)).alias("down"))
-    is_std = F.col("feature").endswith("_std")
-    return stats.select("feature", F.when(is_std, "high").otherwise("low").alias("type"), F.when(is_std, F.col("up")).otherwise(F.col("down")).alias("thr")).where("thr is not null")
+    up, down = [c for c in features if c.endswith("_std")], [c for c in features if not c.endswith("_std")]
+    sizes = train.select(*[F.abs(F.col(c)).alias(c) for c in down]) if down else train
+    rows = [(c, "high", q[0]) for c, q in quantiles(train, up, [high]).items()] if up else []
+    rows += [(c, "low", q[0]) for c, q in quantiles(sizes, down, [low]).items()] if down else []
+    return train.sparkSession.createDataFrame([r for r in rows if r[2] is not None], "feature string, type string, thr double")
 
 
 def soft(violation: Column, floor: float = 0.5) -> Column:

@@ -12,7 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelark.operators.grids import bin_number
 from tidelark.operators.stats import finite
+from tidelark.session import staged
 
 
 @dataclass(frozen=True)
@@ -174,57 +176,59 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, li
 def fit(df: DataFrame, features: Sequence[str], target: str, p: Boosting | None = None, weight: str | None = None) -> Ensemble:
     """Trains over all rows: for each level, gradients are summed by node, feature and bin in one aggregation.
 
-    What reaches the driver is bounded by nodes, features and bins, whatever
-    the rows. Rows aren't written between rounds: margins are expressions of
-    the trees so far.
+    Rows are binned once, into a narrow table of small integers in the shared
+    folder; margins and nodes are expressions over it. What reaches the driver
+    is bounded by nodes, features and bins, whatever the rows.
     """
     p = p or Boosting()
     edges = bin_edges(df, features, p.bins)
-    model = Ensemble([], p.base_score)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     w = F.when(F.col(target) == 1, w * p.positive_weight).otherwise(w)
-    binned = df.select(*features, F.col(target).cast("double").alias("_y"), w.alias("_w"))
-
-    def bin_of(c: str) -> Column:
-        x = finite(F.col(c).cast("double")).cast("float")
-        return F.when(x.isNull(), F.lit(-1)).otherwise(F.aggregate(F.array(*map(F.lit, edges[c])) if edges[c] else F.array().cast("array<double>"), F.lit(0), lambda n, e: n + (x >= e.cast("float")).cast("int")))
+    bins = [bin_number(finite(F.col(c).cast("double")).cast("float"), edges[c]).cast("short").alias(f"b{i}") for i, c in enumerate(features)]
+    rows = staged(df.select(F.col(target).cast("double").alias("y"), w.alias("w"), *bins), "bins")
+    listed = F.array(*[F.struct(F.lit(i).alias("f"), F.coalesce(f"b{i}", F.lit(-1)).alias("b")) for i in range(len(features))])
+    model, over_bins = Ensemble([], p.base_score), []
 
     for _ in range(p.rounds):
-        margin = sum((expression(t) for t in model.trees), F.lit(model.margin))
-        prob = 1 / (1 + F.exp(-margin))
-        rows = binned.withColumn("_p", prob).withColumn("_g", F.col("_w") * (F.col("_p") - F.col("_y"))).withColumn("_h", F.col("_w") * F.col("_p") * (1 - F.col("_p")))
-        rows = rows.select("_g", "_h", *features, F.array(*[F.struct(F.lit(i).alias("f"), bin_of(c).alias("b")) for i, c in enumerate(features)]).alias("_bins"))
+        margin = sum((expression(t) for t in over_bins), F.lit(model.margin))
+        graded = rows.withColumn("p", 1 / (1 + F.exp(-margin))).withColumn("g", F.col("w") * (F.col("p") - F.col("y"))).withColumn("h", F.col("w") * F.col("p") * (1 - F.col("p")))
         nodes: list[Split | Leaf] = [Leaf(0.0)]
+        twins: list[Split | Leaf] = [Leaf(0.0)]  # the same splits over bins
         open_ = [0]
         for level in range(p.depth + 1):
-            node = _node_of(nodes)
-            sums = rows.withColumn("_node", node).where(F.col("_node").isin(open_)).select("_node", "_g", "_h", F.explode("_bins").alias("x")).groupBy("_node", "x.f", "x.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
+            here = graded.withColumn("node", _node_of(twins)).where(F.col("node").isin(open_))
+            if level == p.depth:  # only leaves are left
+                sums = here.groupBy("node").agg(F.lit(0).alias("f"), F.lit(0).alias("b"), F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            else:
+                sums = here.select("node", "g", "h", F.explode(listed).alias("x")).groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             g = {k: [np.zeros(len(edges[c]) + 2) for c in features] for k in open_}
             h = {k: [np.zeros(len(edges[c]) + 2) for c in features] for k in open_}
             for r in sums:
-                g[r["_node"]][r["f"]][r["b"]] += r["g"]
-                h[r["_node"]][r["f"]][r["b"]] += r["h"]
+                g[r["node"]][r["f"]][r["b"]] += r["g"]
+                h[r["node"]][r["f"]][r["b"]] += r["h"]
             new = []
             for k in open_:
-                if not any(x.any() for x in h[k]):
-                    continue
                 all_g, all_h = g[k][0].sum(), h[k][0].sum()
-                nodes[k] = Leaf(float(-p.rate * all_g / (all_h + p.ridge)), float(all_h))
+                nodes[k] = twins[k] = Leaf(float(-p.rate * all_g / max(all_h + p.ridge, 1e-300)), float(all_h))
                 found = None
-                for i, c in enumerate(features if level < p.depth else []):
+                for i in range(len(features) if level < p.depth else 0):
                     got = _best_split(g[k][i][:-1], h[k][i][:-1], (g[k][i][-1], h[k][i][-1]), p)
                     if got and (found is None or got[0] > found[0][0] + 1e-12):
-                        found = got, c
+                        found = got, i
                 if found:
-                    (gain, last, left), c = found
+                    (gain, last, left), i = found
                     yes = len(nodes)
+                    missing = yes if left else yes + 1
+                    nodes[k] = Split(features[i], edges[features[i]][last], yes, yes + 1, missing, gain, float(all_h))
+                    twins[k] = Split(f"b{i}", last + 0.5, yes, yes + 1, missing)
                     nodes += [Leaf(0.0), Leaf(0.0)]
-                    nodes[k] = Split(c, edges[c][last], yes, yes + 1, yes if left else yes + 1, gain, float(all_h))
+                    twins += [Leaf(0.0), Leaf(0.0)]
                     new += [yes, yes + 1]
             open_ = new
             if not open_:
                 break
         model.trees.append(Tree(nodes))
+        over_bins.append(Tree(twins))
     return model
 
 

@@ -50,9 +50,15 @@ WIN = f"""win AS (
 WINDOWS = f"{SIG}, {WROWS}, {WPAIRS}, {WIN}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a small table came as fewer splits; a table of more splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, label, a: an array of 64 doubles."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), "label", F.col("embedding").cast("array<double>").alias("a"))
+    return spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("sample"), "label", F.col("embedding").cast("array<double>").alias("a"))
 
 
 EMB = "emb AS (SELECT vec_id AS sample, label, generate_subscripts(embedding, 1) - 1 AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
