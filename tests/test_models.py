@@ -54,6 +54,15 @@ def test_training_finds_the_signal(learnable):
     assert [len(t.nodes) for t in twice.trees] == [len(t.nodes) for t in model.trees]
 
 
+def test_written_margins_change_nothing(learnable, monkeypatch):
+    p = Boosting(rounds=5, depth=2, bins=8)
+    whole = trees.fit(learnable, ["strong", "weak"], "target", p)
+    monkeypatch.setattr(trees, "WRITTEN", 2)
+    parts = trees.fit(learnable, ["strong", "weak"], "target", p)
+    shape = lambda m: [[(n.feature, n.threshold) if isinstance(n, Split) else round(n.value, 9) for n in t.nodes] for t in m.trees]
+    assert shape(whole) == shape(parts)
+
+
 def test_first_leaf_is_the_newton_step(spark):
     df = spark.createDataFrame([(float(i), int(i >= 5)) for i in range(10)], "x double, y int")
     model = trees.fit(df, ["x"], "y", Boosting(rounds=1, depth=1, rate=1.0, ridge=0.0, min_child_weight=0.0))
@@ -131,7 +140,7 @@ def test_sweep_counts(spark):
 
 
 def test_whole_run(learnable):
-    run = pipeline.Run(learnable, ["strong", "noise", "weak"], pipeline.Settings(model_budget=1, sweep_budget=3, boosting=Boosting(rounds=2, depth=2, bins=8), valid=0.25, test=0.2, n_folds=2), groups={"strong": "emg_contact", "noise": "emg_activity", "weak": "emg_frequency"})
+    run = pipeline.Run(learnable, ["strong", "noise", "weak"], pipeline.Settings(model_budget=1, sweep_budget=3, boosting=Boosting(rounds=2, depth=2, bins=8), valid=0.25, test=0.2, n_folds=2, axes={"rounds": [1, 3], "depth": [1]}), groups={"strong": "emg_contact", "noise": "emg_activity", "weak": "emg_frequency"})
     assert pipeline.execute(run, dry_run=True, stop_after="train") == ["split", "gate", "select", "train"]
     with pytest.raises(ValueError):
         pipeline.execute(run, skip=["nothing"])
@@ -166,3 +175,30 @@ def test_auc_over_ranges(spark):
     pos, neg = x[y == 1], x[y == 0]
     want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
     assert metrics.ranked_auc(df, ["x"], "y").first()["auc"] == pytest.approx(want)
+
+
+def test_fold_fallbacks(spark):
+    rows = [(f"g{i % 4}", i, int(i % 4 == 0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, i int, target int")
+    assert folds.with_fallback(df, "g", ["g", "i"], n_folds=2)[1] == "stratified_fallback"
+    spread = spark.createDataFrame([(f"g{i % 8}", i, i % 3 % 2) for i in range(80)], "g string, i int, target int")
+    assert folds.with_fallback(spread, "g", ["g", "i"], n_folds=2)[1] == "g"
+    assert folds.with_fallback(df.where("target = 0"), "g", ["g", "i"])[1] == "simple_fallback"
+
+
+def test_nothing_is_tuned_on_test_rows(spark):
+    from tidelark.operators import postprocess
+
+    df = spark.createDataFrame([("valid",), ("test",)], "split string")
+    assert postprocess.refused(df.where("split = 'valid'")).count() == 1
+    with pytest.raises(ValueError):
+        postprocess.refused(df)
+
+
+def test_grids_and_scales():
+    from tidelark.functions import features
+    from tidelark.operators import grids
+
+    assert len(grids.state_machine_grid()) == 2520
+    assert features.by_scale(["PPG_mean", "EMG0_ZC"]) == (["PPG_mean"], ["EMG0_ZC"]) and features.deployable(["PPG_mean", "x"]) == (["PPG_mean"], ["x"])
+    assert features.SCALE_DEPENDENT <= set(features.NAMES)

@@ -101,3 +101,16 @@ def test_artifacts(spark, tmp_path):
     model = trees.Ensemble([trees.Tree([trees.Split("x", 1.0, 1, 2, 1, 0.5, 3.0), trees.Leaf(0.1, 2.0), trees.Leaf(-0.1, 1.0)])])
     rows = [r.asDict() | {"Feature": r["FeatureName"]} for r in artifacts.node_table(spark, model).collect()]
     assert trees.from_rows(rows) == model
+
+
+def test_deploy_package(spark, tmp_path):
+    from tidelark.sources import deploy
+
+    model = trees.Ensemble([trees.Tree([trees.Split("PPG_mean", 1.0, 1, 2, 1), trees.Leaf(0.1), trees.Leaf(-0.1)])])
+    bundle = artifacts.Bundle(["PPG_mean"], {"PPG_mean": 0.5}, {"PPG_mean": (0.0, 1.0)}, model, 0.4)
+    names = deploy.export(spark, bundle, (0.0, 1.0), str(tmp_path / "d"))
+    assert len(names) == 7 and all((tmp_path / "d" / n).exists() for n in names)
+    assert artifacts.Bundle.from_json(artifacts.read_json(spark, str(tmp_path / "d" / "bundle.json"))) == bundle
+    bundle.features = ["nothing"]
+    with pytest.raises(ValueError):
+        deploy.export(spark, bundle, (0.0, 1.0), str(tmp_path / "e"))

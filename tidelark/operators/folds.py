@@ -24,6 +24,25 @@ def hashed(df: DataFrame, group: str, n_folds: int = 5, seed: int = 42) -> DataF
     return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n_folds).cast("int"))
 
 
+def stratified(df: DataFrame, keys: list[str], target: str = "target", n_folds: int = 3, seed: int = 42) -> DataFrame:
+    """Adds fold by a hash of the row within its class: classes are spread alike, samples aren't kept together."""
+    digest = F.sha2(F.concat_ws("::", F.lit(str(seed)), F.col(target).cast("string"), *[F.col(k).cast("string") for k in keys]), 256)
+    return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n_folds).cast("int"))
+
+
+def with_fallback(df: DataFrame, group: str, keys: list[str], target: str = "target", n_folds: int = 3, seed: int = 42) -> tuple[DataFrame, str]:
+    """Grouped folds if any is legal, else stratified ones, else two halves; and which it was."""
+    n = df.select(group).distinct().count()
+    if n >= n_folds:
+        dealt = round_robin(df, group, n_folds, seed)
+        if legal(dealt, target).head(1):
+            return dealt, group
+    dealt = stratified(df, keys, target, n_folds, seed)
+    if legal(dealt, target).head(1):
+        return dealt, "stratified_fallback"
+    return hashed(df, keys[0], 2, seed), "simple_fallback"
+
+
 def balanced(sizes: dict, n_folds: int) -> dict:
     """Largest groups first, each to the lightest fold. For as many groups as a driver holds."""
     weight = np.zeros(n_folds)

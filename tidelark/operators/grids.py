@@ -49,6 +49,12 @@ def postprocess_grid(offsets: Sequence[float] = (0.0,)) -> list[dict]:
     return [p for p in grid if p["t_off"] < p["t_on"]]
 
 
+def state_machine_grid() -> list[dict]:
+    """The sweep of the state machine alone; fixed values."""
+    grid = product_of(alpha=[0.2, 0.3, 0.4, 0.5, 0.6], t_on=[0.5, 0.6, 0.7, 0.8], t_off=[0.2, 0.3, 0.4], k_on=[3, 5, 7, 10, 15], k_off=[3, 5, 7, 10], cooldown=[2, 5, 10])
+    return [p for p in grid if p["t_off"] < p["t_on"] and p["k_on"] >= p["k_off"]]
+
+
 def budgeted(grid: list[dict], budget: int | None) -> list[dict]:
     """First, middle and last of a grid, then the mildest: near the threshold, quick on, slow off, a narrow band."""
     if not budget or not 0 < budget < len(grid):

@@ -176,6 +176,19 @@ def swept(df: DataFrame, key: str, order: Sequence[str], raw: str, flag: Column,
     return scored.withColumn("objective", F.col("accuracy") + 0.35 * F.col("recall") - fp_cost * F.col("fp_rate"))
 
 
+def constrained(scored: DataFrame, order: Sequence[str], least_recall: float = 0.95) -> DataFrame:
+    """The highest F1 among sets whose recall suffices; if none does, the highest recall, then F1. The first in order at a tie."""
+    enough = (F.col("recall") >= least_recall).cast("int")
+    return scored.orderBy(enough.desc(), F.when(enough == 1, F.col("f1")).otherwise(F.col("recall")).desc(), F.col("f1").desc(), *order).limit(1)
+
+
+def refused(df: DataFrame, split: str = "split", name: str = "test") -> DataFrame:
+    """The frame, or an error if it holds rows that nothing may be tuned on."""
+    if split in df.columns and df.where(F.col(split) == name).head(1):
+        raise ValueError(f"the {name} split must not be tuned on")
+    return df
+
+
 def tagged(df: DataFrame, pred: Column, target: Column, enabled: Column, quality: Column, ood: Column) -> DataFrame:
     """Adds diagnostic_tag and is_error: what stands behind a wrong window, gate first, then drift, then quality."""
     side = lambda what: F.concat(F.lit(what), F.when(pred == 1, "_fp").otherwise("_fn"))

@@ -54,6 +54,7 @@ def quantiles(df: DataFrame, features: Sequence[str], shares: Sequence[float]) -
         n = first[f"n{i}"]
         for j, q in enumerate(shares if n else []):
             at = (n - 1) * q
+            at = float(round(at)) if abs(at - round(at)) < 1e-9 * n else at  # a rank that was meant to be whole
             low, high = first[f"b{i}"][2 * j : 2 * j + 2]
             open_.append({"c": c, "j": j, "at": at, "r": (int(at), min(int(at) + 1, n - 1)), "low": low, "high": high})
     while open_:
@@ -259,6 +260,25 @@ def standardised(df: DataFrame, features: Sequence[str], limit: float | None = N
     return full.select(*[z(c).alias(c) if c in features else F.col(c) for c in full.columns])
 
 
+def pca_scores(df: DataFrame, features: Sequence[str], components: int = 2) -> DataFrame:
+    """Adds pc1, pc2, ... : standardised features projected on the first components, each signed so that its largest loading is positive."""
+    z = standardised(df, features)
+    values, vectors = np.linalg.eigh(correlation_matrix(z, features))
+    for k, i in enumerate(np.argsort(-values)[:components]):
+        v = vectors[:, i] * np.sign(vectors[np.abs(vectors[:, i]).argmax(), i])
+        z = z.withColumn(f"pc{k + 1}", sum((F.col(c) * F.lit(float(x)) for c, x in zip(features, v)), F.lit(0.0)))
+    return z
+
+
+def distributions(df: DataFrame, features: Sequence[str], target: str, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """feature, target, share, value: what a plot of distributions by target shows."""
+    rows = []
+    for t in sorted(r[0] for r in df.select(target).distinct().collect() if r[0] is not None):
+        for c, values in quantiles(df.where(F.col(target) == t), features, shares).items():
+            rows += [(c, int(t), float(q), v) for q, v in zip(shares, values)]
+    return df.sparkSession.createDataFrame(rows, "feature string, target int, share double, value double")
+
+
 def pca_loadings(df: DataFrame, features: Sequence[str], components: int = 2) -> DataFrame:
     """feature, loading: summed sizes of the loadings on the first components of the standardised features.
 

@@ -173,11 +173,16 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, li
     return {c: sorted(set(np.float32(x).item() for x in row[c] or [])) for c in features}
 
 
+#: Rounds after which margins are written, so that a round evaluates so many trees at most.
+WRITTEN = 8
+
+
 def fit(df: DataFrame, features: Sequence[str], target: str, p: Boosting | None = None, weight: str | None = None) -> Ensemble:
     """Trains over all rows: for each level, gradients are summed by node, feature and bin in one aggregation.
 
     Rows are binned once, into a narrow table of small integers in the shared
-    folder; margins and nodes are expressions over it. What reaches the driver
+    folder, and their margins are written there every few rounds; those of the
+    rounds between, and nodes, are expressions. What reaches the driver
     is bounded by nodes, features and bins, whatever the rows.
     """
     p = p or Boosting()
@@ -185,12 +190,14 @@ def fit(df: DataFrame, features: Sequence[str], target: str, p: Boosting | None
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     w = F.when(F.col(target) == 1, w * p.positive_weight).otherwise(w)
     bins = [bin_number(finite(F.col(c).cast("double")).cast("float"), edges[c]).cast("short").alias(f"b{i}") for i, c in enumerate(features)]
-    rows = staged(df.select(F.col(target).cast("double").alias("y"), w.alias("w"), *bins), "bins")
+    rows = staged(df.select(F.col(target).cast("double").alias("y"), w.alias("w"), F.lit(math.log(p.base_score / (1 - p.base_score))).alias("m"), *bins), "bins")
     listed = F.array(*[F.struct(F.lit(i).alias("f"), F.coalesce(f"b{i}", F.lit(-1)).alias("b")) for i in range(len(features))])
     model, over_bins = Ensemble([], p.base_score), []
 
     for _ in range(p.rounds):
-        margin = sum((expression(t) for t in over_bins), F.lit(model.margin))
+        margin = sum((expression(t) for t in over_bins), F.col("m"))
+        if len(over_bins) == WRITTEN:
+            rows, over_bins, margin = staged(rows.withColumn("m", margin), "bins"), [], F.col("m")
         graded = rows.withColumn("p", 1 / (1 + F.exp(-margin))).withColumn("g", F.col("w") * (F.col("p") - F.col("y"))).withColumn("h", F.col("w") * F.col("p") * (1 - F.col("p")))
         nodes: list[Split | Leaf] = [Leaf(0.0)]
         twins: list[Split | Leaf] = [Leaf(0.0)]  # the same splits over bins

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelark.operators import folds, metrics, ranking, stats, trees
+from tidelark.operators import folds, metrics, ranking, sampling, stats, trees
 from tidelark.plans.registry import query
 from tidelark.plans.roles import FEATURES, LINES, LONG, WINDOWS, lines, table, window_features
 from tidelark.plans.signals import r6
@@ -276,14 +276,37 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {WINDOWS}, n AS (SELECT least(count(*) FILTER (target = 0), count(*) FILTER (target = 1)) AS k FROM win), r AS (SELECT sample, win, target, row_number() OVER (PARTITION BY target ORDER BY sha256('42::' || sample || '::' || win), sample, win) AS n FROM win)
-SELECT sample, win AS "window", target FROM r WHERE n <= (SELECT k FROM n)""")
+DRAWN = "row_number() OVER (PARTITION BY target ORDER BY substr(sha256('42::' || sample || '::' || win), 1, 13))"
+
+
+@query(f"""WITH {WINDOWS}, s AS (SELECT * FROM win WHERE target = 1 OR sample % 3 = 0), n AS (SELECT count(*) FILTER (target = 0) AS k FROM s), r AS (SELECT sample, win, target, {DRAWN} AS n FROM s)
+SELECT sample, win AS "window", target FROM r WHERE target = 0 OR n <= (SELECT k FROM n)""")
 def balanced_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = window_features(spark, sf_dir)
-    k = w.groupBy("target").count().agg(F.min("count")).first()[0] or 0
-    digest = F.sha2(F.concat_ws("::", F.lit("42"), F.col("sample").cast("string"), F.col("window").cast("string")), 256)
-    ranked = w.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy(digest, "sample", "window")))
-    return ranked.where(F.col("n") <= k).select("sample", "window", "target")
+    w = window_features(spark, sf_dir).where("target = 1 or sample % 3 = 0")
+    return sampling.balanced(w, "target", ["sample", "window"]).select("sample", "window", "target")
+
+
+@query(f"WITH {WINDOWS}, r AS (SELECT sample, win, row_number() OVER (ORDER BY substr(sha256('42::' || sample || '::' || win), 1, 13)) AS n FROM win) SELECT sample, win AS \"window\" FROM r WHERE n <= 100")
+def point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of a hundred points, as a plot takes it."""
+    return sampling.first(window_features(spark, sf_dir), ["sample", "window"], 100).select("sample", "window")
+
+
+@query(f"WITH {LINES} SELECT 'l_quantity' AS feature, target, q AS share, round(quantile_cont(l_quantity, q), 6) AS value FROM lines, (SELECT unnest([0.05, 0.5, 0.95]) AS q) GROUP BY target, q".replace("quantile_cont(l_quantity, q)", "CASE q WHEN 0.05 THEN quantile_cont(l_quantity, 0.05) WHEN 0.5 THEN quantile_cont(l_quantity, 0.5) ELSE quantile_cont(l_quantity, 0.95) END").replace("q AS share", "q::DOUBLE AS share"))
+def feature_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distributions(lines(spark, sf_dir), ["l_quantity"], "target", [0.05, 0.5, 0.95]).withColumn("value", r6("value"))
+
+
+@query("""WITH m AS (SELECT l_suppkey AS sample, avg(l_quantity) AS a, avg(l_tax) AS b FROM lineitem GROUP BY l_suppkey), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM m)
+SELECT sample, round(least(greatest((a - ma) / sa, -3), 3), 4) AS a, round(least(greatest((b - mb) / sb, -3), 3), 4) AS b FROM m, s""")
+def per_sample_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(F.avg("l_quantity").alias("a"), F.avg("l_tax").alias("b"))
+    return stats.standardised(m, ["a", "b"], 3.0).select("sample", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+
+
+@query()
+def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.pca_scores(lines(spark, sf_dir).select("line", "l_quantity", "net", "l_tax"), ["l_quantity", "net", "l_tax"]).select("line", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
 
 
 @query()

@@ -181,3 +181,19 @@ def postprocess_grid_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated grid and the order a budget takes it in; reads no table."""
     chosen = grids.budgeted(grids.postprocess_grid((-0.05, 0.0, 0.05)), 120)
     return spark.createDataFrame([(i, *p.values()) for i, p in enumerate(chosen)], "place int, " + ", ".join(f"{k} {'double' if isinstance(v, float) else 'int'}" for k, v in chosen[0].items()))
+
+
+@query(f"WITH {WINDOWS} SELECT sample, target, count(*) AS total_windows, count(*) FILTER (CAST(prob >= {THRESHOLD} AS INT) = target) AS correct_windows FROM win GROUP BY sample, target")
+def per_sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = window_features(spark, sf_dir)
+    return w.groupBy("sample", "target").agg(F.count("*").alias("total_windows"), F.count_if((F.col("prob") >= THRESHOLD).cast("int") == F.col("target")).alias("correct_windows"))
+
+
+@query()
+def state_machine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of the state machine's own grid: the highest F1 among sets of sufficient recall."""
+    grid = [p for p in grids.state_machine_grid() if p["k_on"] == 3 and p["cooldown"] == 2 and p["t_on"] == 0.5]
+    w = window_features(spark, sf_dir).withColumn("p", postprocess.recentred(F.col("prob"), THRESHOLD))
+    ends = postprocess.final_states(w, "sample", ["window"], "p", params=grid, keep=["target"])
+    names = list(grid[0])
+    return postprocess.constrained(metrics.evaluated(ends, F.col("state"), F.col("target"), names), names, 0.9)

@@ -43,6 +43,7 @@ class Settings:
     warmup: int = 3
     fp_cost: float = 1.5
     n_folds: int = 3
+    axes: dict[str, Sequence] = field(default_factory=lambda: dict(AXES))
 
     def with_budget(self, name: str) -> Settings:
         model, sweep = BUDGETS[name]
@@ -111,7 +112,7 @@ def train_step(run: Run) -> None:
     s, features = run.settings, run.state["features"]
     (train, valid), fills, clips = selection.prepared(run.state["train"], [run.part("valid").where(gates.passes(*run.state["train_gate"]))], features)
     train, valid = staged(train, "train"), staged(valid, "valid")
-    params, record = selection.searched(train, features, s.key, selection.candidates(AXES, s.model_budget, s.seed, s.boosting), s.target, n_folds=s.n_folds, repeats=1)
+    params, record = selection.searched(train, features, s.key, selection.candidates(s.axes, s.model_budget, s.seed, s.boosting), s.target, n_folds=s.n_folds, repeats=1)
     weighted = staged(folds.hard_negatives(selection.out_of_fold(train, features, s.key, params, s.target, s.n_folds, s.seed), "prob", s.target, weight=s.hard_negative_weight).drop("prob", "fold"), "weighted")
     plain, hard = trees.fit(train, features, s.target, params), trees.fit(weighted, features, s.target, params, "weight")
     scores = []
@@ -139,7 +140,7 @@ def sweep_step(run: Run) -> None:
     s, b = run.settings, run.state["bundle"]
     grid = grids.budgeted(grids.postprocess_grid((-0.05, 0.0, 0.05)), s.sweep_budget)
     valid = run.state["scored"].where(F.col("split") == "valid").withColumn("target", F.col(s.target))
-    found = postprocess.swept(valid, s.key, list(s.order), "prob", F.col("flag"), b.threshold, grid, s.fp_cost)
+    found = postprocess.swept(postprocess.refused(valid), s.key, list(s.order), "prob", F.col("flag"), b.threshold, grid, s.fp_cost)
     run.reports["sweep"] = staged(found, "sweep")
     best = run.reports["sweep"].orderBy(F.col("objective").desc(), *[F.col(k) for k in grid[0]]).first()
     b.postprocess = {k: best[k] for k in grid[0]}
