@@ -12,8 +12,8 @@ from tidelark.operators.grids import each
 from tidelark.operators.stats import quantiles
 from tidelark.operators.windows import whole, windowed
 
-def gate_features(df: DataFrame, key: str, idx: str, value: str, size: int, stride: int) -> DataFrame:
-    """Level dc (least mean of neighbours), ac (median step) and their ratio, of every whole window of a long signal.
+def gate_features(df: DataFrame, key: str, idx: str, value: str, size: int, stride: int, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Level dc (least mean of neighbours), ac (median step) and their ratio, of every whole window of a long signal; extra aggregates by name.
 
     One exchange: the positions of a sample are numbered, lagged and grouped on the same key.
     """
@@ -21,10 +21,10 @@ def gate_features(df: DataFrame, key: str, idx: str, value: str, size: int, stri
     pairs = windowed(df, idx, size, stride).withColumn("_before", before)
     grouped = pairs.groupBy(key, "window").agg(
         F.min((F.col("_before") + F.col(value)) / 2).alias("_dc"), F.percentile(F.abs(F.col(value) - F.col("_before")), F.lit(0.5)).alias("_ac"),
-        F.avg(value).alias("_mean"), whole(size).alias("_whole"),
+        F.avg(value).alias("_mean"), whole(size).alias("_whole"), *[c.alias(k) for k, c in (extra or {}).items()],
     )
     dc, ac = F.coalesce("_dc", "_mean"), F.coalesce("_ac", F.lit(0.0))
-    return grouped.where("_whole").select(key, "window", (F.col("window") * stride).alias("start"), dc.alias("dc"), ac.alias("ac"), (ac / (F.abs(dc) + F.lit(1e-12))).alias("ac_dc_ratio"))
+    return grouped.where("_whole").select(key, "window", (F.col("window") * stride).alias("start"), dc.alias("dc"), ac.alias("ac"), (ac / (F.abs(dc) + F.lit(1e-12))).alias("ac_dc_ratio"), *(extra or {}))
 
 
 def gate_features_array(a: Column) -> dict[str, Column]:

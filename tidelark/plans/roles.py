@@ -36,11 +36,9 @@ WPAIRS = "wpairs AS (SELECT *, lag(v) OVER (PARTITION BY sample, win ORDER BY id
 
 def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, target, window, start, dc, ac, ac_dc_ratio, prob of every whole window."""
-    s = signal(spark, sf_dir)
-    gate = gates.gate_features(s, "sample", "idx", "v", SIZE, STRIDE)
-    mean = windows.windowed(s, "idx", SIZE, STRIDE).groupBy("sample", "window").agg(F.avg("v").alias("level"))
+    gate = gates.gate_features(signal(spark, sf_dir), "sample", "idx", "v", SIZE, STRIDE, {"level": F.avg("v"), "target": F.first("target")})
     prob = F.col("level") / (F.col("level") + 50)
-    return gate.join(mean, ["sample", "window"]).select("sample", (F.col("sample") % 2).cast("int").alias("target"), F.col("window").cast("long").alias("window"), F.col("start").cast("long").alias("start"), "dc", "ac", "ac_dc_ratio", prob.alias("prob"))
+    return gate.select("sample", "target", F.col("window").cast("long").alias("window"), F.col("start").cast("long").alias("start"), "dc", "ac", "ac_dc_ratio", prob.alias("prob"))
 
 
 WIN = f"""win AS (
