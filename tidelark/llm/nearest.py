@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,6 +222,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
 
     def index(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(pc.list_element(table["members"], 0)))  # the same graph, whatever order rows arrive in
         edges, entries = build(_matrix(table["v"], np.float32))
         listed = pa.FixedSizeListArray.from_arrays(pa.array(edges.ravel()), edges.shape[1]).cast(pa.list_(pa.int64()))
         return table.append_column("edges", listed).append_column("entry", pa.array(np.isin(np.arange(len(edges)), entries)))
