@@ -75,7 +75,7 @@ def best_threshold(sweep: DataFrame, objective: str = "f1", beta: float = 0.5, m
 
 
 #: Ranges that ranks are summed in.
-RANGES = 64
+RANGES = 16
 
 
 def ranked_auc(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -86,12 +86,13 @@ def ranked_auc(df: DataFrame, features: Sequence[str], target: str) -> DataFrame
     from its own rows, those of whole ranges from their totals, so no task
     sorts a feature alone.
     """
-    x = {c: finite(F.col(c).cast("double")) for c in features}
+    # Values are a projection of their own, so that each comparison reads a column, not the expression behind it.
+    rows = df.select(F.col(target).alias("_y"), *[finite(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(features)])
     shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    row = df.agg(*[F.percentile_approx(x[c], shares, F.lit(1000)).alias(f"b{i}") for i, c in enumerate(features)]).first()
+    row = rows.agg(*[F.percentile_approx(f"x{i}", shares, F.lit(1000)).alias(f"b{i}") for i in range(len(features))]).first()
     bounds = [sorted(set(row[f"b{i}"] or [])) for i in range(len(features))]
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_number(x[c], bounds[i]).alias("range"), x[c].alias("x")) for i, c in enumerate(features)])
-    long = df.select(F.col(target).alias("_y"), F.explode(cells).alias("c")).select("c.*", "_y").where("x is not null")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_number(F.col(f"x{i}"), bounds[i]).alias("range"), F.col(f"x{i}").alias("x")) for i, c in enumerate(features)])
+    long = rows.select("_y", F.explode(cells).alias("c")).select("c.*", "_y").where("x is not null")
     counted = long.groupBy("feature", "range", "x").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count_if(F.col("_y") == 0).alias("n"))
     before = Window.partitionBy("feature", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     inner = counted.withColumn("under", F.coalesce(F.sum("n").over(before), F.lit(0)))

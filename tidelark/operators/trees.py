@@ -189,8 +189,9 @@ def fit(df: DataFrame, features: Sequence[str], target: str, p: Boosting | None
     edges = bin_edges(df, features, p.bins)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     w = F.when(F.col(target) == 1, w * p.positive_weight).otherwise(w)
-    bins = [bin_number(finite(F.col(c).cast("double")).cast("float"), edges[c]).cast("short").alias(f"b{i}") for i, c in enumerate(features)]
-    rows = staged(df.select(F.col(target).cast("double").alias("y"), w.alias("w"), F.lit(math.log(p.base_score / (1 - p.base_score))).alias("m"), *bins), "bins")
+    values = df.select(F.col(target).cast("double").alias("y"), w.alias("w"), *[finite(F.col(c).cast("double")).cast("float").alias(f"x{i}") for i, c in enumerate(features)])
+    bins = [bin_number(F.col(f"x{i}"), edges[c]).cast("short").alias(f"b{i}") for i, c in enumerate(features)]
+    rows = staged(values.select("y", "w", F.lit(math.log(p.base_score / (1 - p.base_score))).alias("m"), *bins), "bins")
     listed = F.array(*[F.struct(F.lit(i).alias("f"), F.coalesce(f"b{i}", F.lit(-1)).alias("b")) for i in range(len(features))])
     model, over_bins = Ensemble([], p.base_score), []
 
