@@ -68,6 +68,23 @@ def test_random_strings_are_found_and_known_ones_are_not():
     assert secrets.base_spans(t) and found(t) == []
 
 
+def test_random_keys_of_one_case_and_in_groups_are_found():
+    tokens = secrets.encoding(TIKTOKEN).encode_ordinary
+    found = lambda t: [t[a:b] for _, a, b in secrets.random_spans(t, [], tokens)]
+    rng = random.Random(8)
+    of = lambda letters, n: "".join(rng.choices(letters, k=n))
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for one in (lower, upper):
+        keys = [of(one, 24) for _ in range(200)]
+        assert sum(found(f"a {k} b") == [k] for k in keys) >= 195
+        for joint in "-_/+=":
+            grouped = [joint.join(of(one, 5) for _ in range(4)) for _ in range(40)] + [joint.join(of(x, 4) for _ in range(3) for x in (one, "0123456789")) for _ in range(40)]
+            assert all(found(f"a {k} b") == [k] for k in grouped)
+    assert found("a QZXKV-BNMWR-TPLKJ-HGFDS b") == ["QZXKV-BNMWR-TPLKJ-HGFDS"]
+    for known in ("MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "x_min_y_max_z_min_z_max", "2024-01-02_03-04-05-678", "internationalization-and-localization"):
+        assert found(f"a {known} b") == []
+
+
 def test_secrets_query_columns(spark, odd_docs, no_docs):
     docs = odd_docs.unionByName(spark.createDataFrame([(9, "é password=abc123XYZ ", None, "x", 1, 2, "y", 3)], odd_docs.schema))
     found = secrets.find_secrets(docs, TIKTOKEN).select("doc_id", *[c.alias(k) for k, c in span_digest(F.col("spans"), secrets.BASE).items()])

@@ -5,7 +5,7 @@ what people write and many on random characters. A run of secret-like
 characters is random if it takes a token for every two characters or fewer,
 unless it is a known digest (hexadecimal of a usual digest length), an
 identifier (UUID, number, one plain word or words in snake, kebab or camel
-case), or overlaps what a pattern has found.
+case, each of which takes fewer tokens by itself), or overlaps what a pattern has found.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128})")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Words joined by separators or capitals, each with a vowel, and numbers among them.
+#: Groups of letters joined by separators or capitals, and numbers among them; whether the groups are words is for are_words to say.
 WORDS = re.compile(r"[_/=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})[_/=+-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[_/=+-]*")
 CAMEL = re.compile(r"[A-Za-z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
+GROUP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(maxsize=1)
@@ -52,16 +53,23 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def is_known(run: str) -> bool:
+def are_words(run: str, tokens) -> bool:
+    """Whether all groups of three or more letters are above the ratio by themselves and hold half of the letters at least."""
+    groups = GROUP.findall(run)
+    long = [g for g in groups if len(g) > 2]
+    return 2 * sum(map(len, long)) >= sum(map(len, groups)) and all(len(g) > RATIO * len(tokens(g)) for g in long)
+
+
+def is_known(run: str, tokens) -> bool:
     """A digest or an identifier."""
-    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run.strip("-_=+/")) or WORDS.fullmatch(run) or CAMEL.fullmatch(run))
+    return bool(DIGEST.fullmatch(run) or UUID.fullmatch(run.strip("-_=+/"))) or bool(WORDS.fullmatch(run) or CAMEL.fullmatch(run)) and are_words(run, tokens)
 
 
 def random_spans(text: str, base: list[Span], tokens) -> list[Span]:
     found, mark = [], marks(len(text), base) if base else b""
     for m in RUN.finditer(text):
         run = m[0]
-        if mark.find(1, *m.span()) < 0 and not is_known(run) and len(run) <= RATIO * len(tokens(run)):
+        if mark.find(1, *m.span()) < 0 and len(run) <= RATIO * len(tokens(run)) and not is_known(run, tokens):
             found.append(("random", *m.span()))
     return found
 
