@@ -145,3 +145,12 @@ def test_html_hostile():
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, 0), (None, "<p>x", 1), (2, "", 2), (2, "", 2)], "page_id long, html string, text int")
     assert sorted((r.page_id or 0, r.text) for r in html_text.html_text(pages).collect()) == [(0, "x"), (1, ""), (2, ""), (2, "")]
+
+
+def test_html_tables_with_open_colgroups_and_captions():
+    for rows in ("<tr><td>text", "<tbody><tr><td>text", "<thead><tr><th>text", "<tfoot><tr><td>text", "<td>text", "<th>text"):
+        assert html_text.extract(f"<table><colgroup><col>{rows}</table>") == "text"
+        assert html_text.extract(f"<table><colgroup><col><colgroup>{rows}</table>") == "text"
+        assert html_text.extract(f"<table><caption>c{rows}</table>") == "c\ntext"
+    assert html_text.extract("<table><colgroup><col><caption>c<tr><td>a<td>b</table>z") == "c\na | b\n\nz"
+    assert html_text.extract("<table><colgroup><col>loose <b>words</b><tr><td>t</table>") == "loose\nwords\nt"

@@ -26,13 +26,15 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".sp
 #: A start tag on the left ends an open element on the right, unless one of the barriers stands between.
 IMPLIED: dict[str, frozenset[str]] = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"}), "optgroup": frozenset({"option", "optgroup"}),
-    "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "thead": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}),
-    "tbody": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}), "tfoot": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}), "body": frozenset({"head"}),
+    "tr": frozenset({"tr", "td", "th", "caption", "colgroup"}), "td": frozenset({"td", "th", "caption", "colgroup"}), "th": frozenset({"td", "th", "caption", "colgroup"}), "thead": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}),
+    "tbody": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}), "tfoot": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}), "body": frozenset({"head"}),
+    "caption": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}), "colgroup": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}), "col": frozenset({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}),
 }
 BARRIER = {"li": frozenset({"ul", "ol", "menu"}), "dt": frozenset({"dl"}), "dd": frozenset({"dl"}), "option": frozenset({"select", "datalist"}), "optgroup": frozenset({"select"})}
 TABLE = frozenset({"table"})
 #: A block's start tag ends an open paragraph.
 ENDS_P = BLOCK - frozenset("body html tbody thead tfoot tr caption option optgroup legend summary".split())
+IN_COLGROUP = frozenset("col template".split())
 IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
 #: Deeper elements become children of the last one; rendering doesn't recurse, so this bounds work alone.
 DEEPEST = 512
@@ -62,7 +64,7 @@ def parse(source: str) -> Element:
 
     def text(value: str) -> None:
         if value:
-            if stack[-1].name == "head" and value.strip():
+            if stack[-1].name in ("head", "colgroup") and value.strip():
                 stack.pop()
             stack[-1].children.append(html.unescape(value) if "&" in value else value)
 
@@ -115,6 +117,8 @@ def parse(source: str) -> Element:
             stack.pop()
         if name in ENDS_P:
             close(frozenset({"p"}), TABLE | {"td", "th", "li", "dd", "button", "object"})
+        if stack[-1].name == "colgroup" and name not in IN_COLGROUP:
+            stack.pop()
         if name in IMPLIED:
             close(IMPLIED[name], BARRIER.get(name, TABLE))
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
@@ -288,9 +292,9 @@ def _strays(table: Element, level: int) -> list[str]:
         for c in e.children:
             if isinstance(c, str):
                 out.append(SPACE.sub(" ", c).strip())
-            elif is_hidden(c) or c.name in ("caption", "col", "colgroup", "td", "th"):
+            elif is_hidden(c) or c.name in ("caption", "col", "td", "th"):
                 continue
-            elif c.name in ("tbody", "thead", "tfoot", "tr"):
+            elif c.name in ("tbody", "thead", "tfoot", "tr", "colgroup"):
                 todo.append(c)
             else:
                 out.append(render(_as_block(c), level).strip())
