@@ -154,3 +154,15 @@ def test_html_tables_with_open_colgroups_and_captions():
         assert html_text.extract(f"<table><caption>c{rows}</table>") == "c\ntext"
     assert html_text.extract("<table><colgroup><col><caption>c<tr><td>a<td>b</table>z") == "c\na | b\n\nz"
     assert html_text.extract("<table><colgroup><col>loose <b>words</b><tr><td>t</table>") == "loose\nwords\nt"
+
+
+def test_html_text_of_controls_drawings_and_formulas():
+    of = html_text.extract
+    assert of("a<textarea rows=2>\none &amp;\n  two</textarea>b") == "a\none &\n  two\nb"
+    assert of("a<select><option>x<option selected>y<optgroup label=G><option label=Z>no</select>b") == "a\nx\ny\nG\nZ\nb"
+    assert of("so <math><mi>x</mi><mo>=</mo><mn>7</mn><annotation>no</annotation></math> holds") == "so x=7 holds"
+    assert of("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>") == "1 2"
+    assert of("<p>see <svg><title>no</title><path d=x /><defs><text>no</text></defs><g>no<text x=1>Label <tspan>one</tspan></text><text>two</text></g></svg> end") == "see\nLabel one\ntwo\nend"
+    assert of("<svg><foreignObject><div>in</div></foreignObject></svg><svg><title/><text>on</text></svg>") == "in\non"
+    assert of("<svg><path d=1><p>after</p>tail") == "after\n\ntail"
+    assert of("<datalist><option>no</datalist><svg hidden><text>no</text></svg>yes") == "yes"

@@ -19,7 +19,16 @@ from tidelark.llm.common import map_texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to the end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea title meta link".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link annotation annotation-xml".split())
+#: SVG shows characters within these alone, and nothing of the next.
+SVG_TEXT = frozenset({"text", "foreignobject"})
+SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
+#: Parts of formulas that stand apart.
+PARTED = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr".split())
+#: Markup is HTML again within these; start tags that end SVG and formulas otherwise.
+FOREIGN = frozenset({"svg", "math"})
+WITHIN_FOREIGN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption".split())
 #: Blocks that an empty line parts from their neighbours.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
@@ -43,6 +52,7 @@ NESTED = 40
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]+$")
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -78,6 +88,13 @@ def parse(source: str) -> Element:
         if outermost:
             del stack[outermost:]
 
+    def is_foreign() -> bool:
+        for e in reversed(stack):
+            if e.name in FOREIGN or e.name in WITHIN_FOREIGN:
+                return e.name in FOREIGN
+        return False
+
+    foreign = False  # whether any such element has begun
     while at < n:
         start = source.find("<", at)
         if start < 0:
@@ -115,6 +132,9 @@ def parse(source: str) -> Element:
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
             stack.pop()
+        if foreign and name in ENDS_FOREIGN:
+            while is_foreign():
+                stack.pop()
         if name in ENDS_P:
             close(frozenset({"p"}), TABLE | {"td", "th", "li", "dd", "button", "object"})
         if stack[-1].name == "colgroup" and name not in IN_COLGROUP:
@@ -129,12 +149,16 @@ def parse(source: str) -> Element:
         stack[-1].children.append(element)
         if name in VOID:
             continue
+        foreign = foreign or name in FOREIGN
+        if foreign and m[3].endswith("/") and not UNQUOTED.search(m[3]) and (name in FOREIGN or is_foreign()):
+            continue
         if name in RAW:
             low = source.lower() if low is None else low
             low = low if len(low) == n else re.sub("[A-Z]", lambda x: x[0].lower(), source)
             end = low.find(f"</{name}", at)
             end = n if end < 0 else end
-            element.children.append(source[at:end])
+            value = source[at:end]
+            element.children.append(html.unescape(value).removeprefix("\n") if name == "textarea" else value)
             end = source.find(">", end)
             at = n if end < 0 else end + 1
             continue
@@ -221,6 +245,15 @@ def render(root: Element, level: int = 0) -> str:
             if e.attributes.get("alt", "").strip():
                 lines.words(e.attributes["alt"])
             continue
+        if e.name == "textarea":
+            lines.end(1)
+            lines.words(e.children[0] if e.children else "", True)
+            lines.end(1)
+            continue
+        if e.name == "svg":
+            for x in _svg_texts(e):
+                todo.append(("open", x, False))
+            continue
         if e.name == "table" and level < NESTED:
             lines.end(2)
             for row in _table(e, level + 1):
@@ -247,12 +280,35 @@ def render(root: Element, level: int = 0) -> str:
             lines.mark = ""
         elif e.name in ("td", "th"):  # outside a table
             lines.words(" ")
+        label = e.attributes.get("label", "").strip() if e.name in ("option", "optgroup") else ""
+        if label:
+            lines.words(label)
+            lines.end(1)
         todo.append(("close", e, kept))
+        if label and e.name == "option":  # shown in place of its text
+            continue
+        if e.name in PARTED:
+            todo += [("open", x, kept) for c in reversed(e.children) for x in (c, " ")]
+            continue
         kept = kept or e.name == "pre"
         todo += [("open", c, kept) for c in reversed(e.children)]
     return lines.text()
 
 
+def _svg_texts(svg: Element) -> list[Element]:
+    """What a drawing shows, last first: its texts as lines of their own."""
+    out, todo = [], [svg]
+    while todo:
+        e = todo.pop()
+        if e.name in SVG_TEXT:
+            line = Element("div", e.attributes)
+            line.children = e.children
+            out.append(line)
+        else:
+            todo += [c for c in reversed(e.children) if isinstance(c, Element) and c.name not in SVG_UNSEEN and not is_hidden(c)]
+    return out[::-1]
+
+
 def _table(table: Element, level: int) -> list[str]:
     """Rows of a table with cells padded to their columns; a cell's own lines become one."""
     rows, caption = [], []
