@@ -82,3 +82,15 @@ def test_one_of_each_with_repeated_and_missing_ids(spark):
     kept = stages.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4]
+
+
+def test_one_row_of_each_group_stays_where_an_id_names_several_texts(spark):
+    rng = random.Random(2)
+    t = [" ".join("".join(rng.choices("abcdef", k=6)) for _ in range(30)) for _ in range(6)]
+    rows = [(1, t[0], "x"), (1, t[1], "x"), (1, t[1], "y"), (1, t[2], "x"), (2, t[0], "x"), (3, t[1], "x"), (2, t[3], "x"), (3, t[3], "x"), (4, t[4], "x"), (4, t[4], "x"), (4, t[5], "x")]
+    kept = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows[:: 1 if parts == 1 else -1], "doc_id long, text string, source string").repartition(parts)
+        kept.append(sorted((r.doc_id, r.text, r.source) for r in stages.keep_one_of_each(docs).collect()))
+    assert kept[0] == kept[1]
+    assert sorted((i, x) for i, x, _ in kept[0]) == sorted([(1, t[0]), (1, t[1]), (1, t[2]), (2, t[3]), (4, t[4]), (4, t[5])])

@@ -33,14 +33,18 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id, once; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
-    # An id can name several rows, even of several groups: it stays if it is the least of any.
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_least"))
-    ids = staged(ids.where("_least").select("doc_id", "_rows"), "kept")
-    once = docs.join(ids.where("_rows = 1").hint("shuffle_hash"), "doc_id", "left_semi")
-    often = docs.join(ids.where("_rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(often).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near-duplicates, one row: that of the smallest id, then of the least hash of its text, then of its columns; documents without an id stay."""
+    # An id can name several rows, even of several groups, so rows go by their id and hashes. Maps have no hash.
+    hashed = [F.col(f"`{c}`") for c, k in docs.dtypes if "map<" not in k]
+    rows = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_hash", F.xxhash64(*hashed))
+    key = F.struct("doc_id", "_text_hash", "_row_hash")
+    found = simhash.near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), key).alias("_key"), "text"), "_key")
+    kept = found.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("_rows"))
+    kept = staged(kept.select("_key.*", "_rows"), "kept")
+    names = ["doc_id", "_text_hash", "_row_hash"]
+    once = rows.join(kept.where("_rows = 1").hint("shuffle_hash"), names, "left_semi")
+    often = rows.join(kept.where("_rows > 1"), names, "left_semi").dropDuplicates(names)  # copies in all columns
+    return once.unionByName(often).unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
 def drop_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
