@@ -103,3 +103,29 @@ def test_stream_goes_on_from_its_state(spark, tmp_path):
     for s, ps in series.items():
         states, scores, _ = walk(ps, [1.0] * 60, m)
         assert [got[s, i][0] for i in range(60)] == states and [got[s, i][1] for i in range(60)] == pytest.approx(scores)
+
+
+def test_search_takes_the_best_of_the_whole_grid(spark):
+    """Against a walk of each set over each sample."""
+    from tidelark.operators import grids
+    from tidelark.plans.decisions import state_machine_search
+    from tidelark.plans.roles import THRESHOLD, window_features
+
+    sf = "/root/testdata/sf0.001"
+    w = window_features(spark, sf).withColumn("p", postprocess.recentred(F.col("prob"), THRESHOLD)).select("sample", "target", "window", "p").collect()
+    samples = {}
+    for r in sorted(w, key=lambda r: (r["sample"], r["window"])):
+        samples.setdefault((r["sample"], r["target"]), []).append(r["p"])
+    grid, best = grids.state_machine_grid(), None
+    assert len(grid) == 2520
+    for p in grid:
+        m = Hysteresis(p["alpha"], p["t_on"], p["t_off"], p["k_on"], p["k_off"], p["cooldown"])
+        cells = {(a, b): 0 for a in (0, 1) for b in (0, 1)}
+        for (_, target), probs in samples.items():
+            cells[postprocess.walk(probs, [1.0] * len(probs), m)[2][0], target] += 1
+        tp, fp, fn = cells[1, 1], cells[1, 0], cells[0, 1]
+        recall, f1 = tp / (tp + fn) if tp + fn else 0.0, 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0
+        rank = (-(recall >= 0.9), -(f1 if recall >= 0.9 else recall), -f1, *p.values())
+        best = min(best, rank) if best else rank
+    got = state_machine_search(spark, sf).collect()
+    assert [tuple(r[k] for k in grid[0]) for r in got] == [best[3:]]

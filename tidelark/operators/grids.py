@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import product
 
@@ -9,11 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: From so many sets on, they are one literal of the plan, which is then as quickly made as with few.
+MANY = 64
+
+
 def each(df: DataFrame, params: Sequence[dict]) -> DataFrame:
     """Every row with every set of parameters, as further columns. The sets are literals of the plan: their number is stated, not found in data."""
     if not params:
         raise ValueError("no parameters")
-    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.items()]) for p in params])
+    if len(params) > MANY and all(type(v) in (int, float) for p in params for v in p.values()):
+        listed = F.from_json(F.lit(json.dumps(list(params))), "array<struct<" + ", ".join(f"`{k}`: {'int' if type(v) is int else 'double'}" for k, v in params[0].items()) + ">>")
+    else:
+        listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.items()]) for p in params])
     return df.withColumn("_params", F.explode(listed)).select(*df.columns, *[F.col(f"_params.{k}").alias(k) for k in params[0]])
 
 

@@ -191,8 +191,8 @@ def per_sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def state_machine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A slice of the state machine's own grid: the highest F1 among sets of sufficient recall."""
-    grid = [p for p in grids.state_machine_grid() if p["k_on"] == 3 and p["cooldown"] == 2 and p["t_on"] == 0.5]
+    """The state machine's own grid, whole: the highest F1 among sets of sufficient recall."""
+    grid = grids.state_machine_grid()
     w = window_features(spark, sf_dir).withColumn("p", postprocess.recentred(F.col("prob"), THRESHOLD))
     ends = postprocess.final_states(w, "sample", ["window"], "p", params=grid, keep=["target"])
     names = list(grid[0])
