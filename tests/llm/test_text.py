@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -138,8 +140,75 @@ def test_html_layout():
 
 
 def test_html_hostile():
-    for bad in ("<" * 100_000, "<!--" * 50_000, "<div>" * 50_000, "<table><tr><td>" * 3000, "<a " * 50_000, "<p>" * 50_000, "</p>" * 20_000, "<li>" * 20_000):
-        html_text.extract(bad + "end")
+    """A megabyte takes under five seconds; a quarter of one under two, of whatever is repeated."""
+    parts = ["<", "<!--", "<a ", '<a b="', "<a b='\"", "<div>", "<p>", "</p>", "<li>", "<table><tr><td>", "<table>", "<ul><li>", "<blockquote>a", "<td colspan=1000>x", "<svg ====\"/>", "<math><mi>", "<tr>", "<b><p>", "&#11111111111111111111"]
+    for part in parts:
+        size, bound = (1_000_000, 5) if part in ("<a ", '<a b="', "<div>") else (250_000, 2)
+        took = time.process_time()
+        html_text.extract(part * (size // len(part)) + "end")
+        assert time.process_time() - took < bound, part
+
+
+def test_html_hides_at_any_depth():
+    for depth in (1, 100, 600, 5000):
+        for opening in ("<div>", "<table><tr><td>", "<ul><li>", "<blockquote>"):
+            assert html_text.extract(opening * depth + "<p hidden>SECRET</p><noscript>NO</noscript>yes").split()[-1:] == ["yes"]
+            assert not {"SECRET", "NO"} & set(html_text.extract(opening * depth + "<p hidden>SECRET</p><noscript>NO</noscript>yes").split())
+    assert html_text.extract("<table><tr><td>a<td>b" + "<table><tr><td>c<td>" * 50 + "d" + "</table>" * 51) == "a | b" + " c |" * 50 + " d"
+
+
+def random_tree(rng, depth, words, inside="flow"):
+    """Markup and its visible words, by a recursion of its own."""
+    if depth == 0 or rng.random() < 0.2:
+        w = f"w{next(words)}"
+        return f" {w} ", [w]
+    if inside == "inline":
+        name = rng.choice(["b", "span", "em", "hidden"])
+    else:
+        name = rng.choice(["b", "div", "p", "ul", "ol", "table", "blockquote", "hidden", "none", "section"])
+    if name in ("hidden", "none"):
+        inner, _ = random_tree(rng, depth - 1, words, inside)
+        return (f"<span hidden>{inner}</span>" if inside == "inline" else f"<div style='color: red; display:none'>{inner}</div>"), []
+    if name == "table":
+        n, rows, seen = rng.randint(1, 3), "", []
+        for _ in range(rng.randint(1, 3)):
+            cells = [random_tree(rng, depth - 1, words) for _ in range(n)]
+            rows += "<tr>" + "".join(f"<td>{m}" + rng.choice(["</td>", ""]) for m, _ in cells) + rng.choice(["</tr>", ""])
+            seen += [w for _, x in cells for w in x]
+        return f"<table>{rows}</table>", seen
+    parts = [random_tree(rng, depth - 1, words, "inline" if inside == "inline" or name in ("p", "b") else "flow") for _ in range(rng.randint(1, 4))]
+    if name in ("ul", "ol"):
+        return f"<{name}>" + "".join(f"<li>{m}" + rng.choice(["</li>", ""]) for m, _ in parts) + f"</{name}>", [w for _, x in parts for w in x]
+    return f"<{name}>" + "".join(m for m, _ in parts) + f"</{name}>", [w for _, x in parts for w in x]
+
+
+def test_html_words_of_random_trees():
+    rng = random.Random(12)
+    for _ in range(800):
+        markup, want = random_tree(rng, rng.randint(1, 6), itertools.count())
+        got = [w for w in html_text.extract(markup).split() if w.startswith("w")]
+        assert got == want, markup
+
+
+def test_html_tags_are_read_as_browsers_do():
+    of = html_text.extract
+    assert of("<p it's>a</p><p title='x > y'>b</p>") == "a\n\nb"
+    assert of("a <!--> b <!-- c --!> d </> e </?x> f <3 g") == "a b d e f <3 g"
+    assert of("<script>if (a </scripty> b) {}</script>x<style>y</STYLE >z") == "xz"
+    assert of("x <a href=y") == "x" and of('x <a href="y>z</a> w') == "x z w"
+    assert of("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+
+
+def test_html_wide_cells_and_deep_indents_lose_nothing():
+    wide = "x" * 5000
+    assert html_text.extract(f"<table><tr><td>{wide}<td>b<tr><td>a<td>c</table>").split() == [wide, "|", "b", "a", "|", "c"]
+    assert html_text.extract("<blockquote>" * 300 + "deep").strip() == "deep"
+
+
+def test_html_empty_table_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "<p>x</p>", "a", 2)], "page_id long, html string, text string, id int")
+    assert [tuple(r) for r in html_text.html_text(pages).collect()] == [(1, "x")]
+    assert html_text.html_text(pages.where("false")).count() == 0
 
 
 def test_html_rows(spark):

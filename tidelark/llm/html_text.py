@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,142 +48,174 @@ TABLE = frozenset({"table"})
 ENDS_P = BLOCK - frozenset("body html tbody thead tfoot tr caption option optgroup legend summary".split())
 IN_COLGROUP = frozenset("col template".split())
 IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
-#: Deeper elements become children of the last one; rendering doesn't recurse, so this bounds work alone.
-DEEPEST = 512
-#: Tables nested deeper are rendered as plain blocks.
-NESTED = 40
-
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+#: Columns of indent, and width of a table's column, beyond which layout stops growing; the text itself is never cut.
+MOST_INDENT, MOST_WIDTH = 64, 160
+
+#: Quotes count after an equals sign alone; one that never ends is a character like any other.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+#: A less-than sign that isn't text.
+MARKUP = re.compile("<(?=[A-Za-z/!?])")
+TAG_START = re.compile("</?[A-Za-z]")
+RAW_END = {name: re.compile(rf"(?ai:</{name}(?=[ \t\n\r\f/>]|\Z))") for name in RAW}
+COMMENT_END = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-UNQUOTED = re.compile(r"=\s*[^\s\"'>]+$")
+VALUE_ENDS = frozenset(" \t\n\r\f\"'")
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+#: Numbers too long for any character.
+LONG_REFERENCE = re.compile("&#[0-9]{8,};?")
+P, HEAD, P_BARRIER = frozenset({"p"}), frozenset({"head"}), frozenset({"table", "td", "th", "li", "dd", "button", "object"})
+
+
+NO_ATTRIBUTES: dict[str, str] = {}
 
 
 class Element:
     __slots__ = ("attributes", "children", "name")
 
     def __init__(self, name: str, attributes: dict[str, str] | None = None):
-        self.name, self.attributes, self.children = name, attributes or {}, []
+        self.name, self.attributes, self.children = name, attributes or NO_ATTRIBUTES, []
+
+
+def unescape(value: str) -> str:
+    return html.unescape(LONG_REFERENCE.sub("\ufffd", value)) if "&" in value else value
+
+
+class Open:
+    """The open elements, and at which depths each name is open, so that no tag walks over all of them."""
+
+    def __init__(self, root: Element):
+        self.stack, self.at = [root], defaultdict(list)
+
+    def push(self, e: Element) -> None:
+        self.at[e.name].append(len(self.stack))
+        self.stack.append(e)
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from a depth on."""
+        while len(self.stack) > depth:
+            self.at[self.stack.pop().name].pop()
+
+    def last(self, names: frozenset[str]) -> int:
+        """Depth of the innermost element of these names, or 0."""
+        return max((d[-1] for n in names if (d := self.at.get(n))), default=0)
+
+    def close(self, names: frozenset[str], barrier: frozenset[str]) -> None:
+        """Closes the outermost element of these names that no barrier covers, and all within it."""
+        under = self.last(barrier)
+        found = [d[i] for n in names if (d := self.at.get(n)) and d[-1] > under and (i := bisect_right(d, under)) < len(d)]
+        if found:
+            self.cut(min(found))
+
+    def is_foreign(self) -> bool:
+        return self.last(FOREIGN) > self.last(WITHIN_FOREIGN)
+
+
+def _ends_itself(inside: str) -> bool:
+    """Whether a tag's slash ends it rather than an unquoted value."""
+    if not inside.endswith("/"):
+        return False
+    i = len(inside)
+    while i and inside[i - 1] not in VALUE_ENDS:
+        i -= 1
+    return "=" not in inside[i:-1] and not (len(inside) - i == 1 and inside[:i].rstrip().endswith("="))
 
 
 def parse(source: str) -> Element:
-    """The tree of a page; whatever is malformed is read as text or passed over."""
+    """The tree of a page, in time linear in its length. Markup that is malformed is read as text, passed over, or mended, as browsers do; a tag or comment that never ends takes the rest with it."""
     root = Element("#root")
-    stack = [root]
+    open_ = Open(root)
+    stack = open_.stack
     at, n = 0, len(source)
-    low = None
-    no_comment_end = False
 
     def text(value: str) -> None:
         if value:
             if stack[-1].name in ("head", "colgroup") and value.strip():
-                stack.pop()
-            stack[-1].children.append(html.unescape(value) if "&" in value else value)
-
-    def close(names: frozenset[str], barrier: frozenset[str]) -> None:
-        outermost = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in barrier:
-                break
-            if stack[i].name in names:
-                outermost = i
-        if outermost:
-            del stack[outermost:]
-
-    def is_foreign() -> bool:
-        for e in reversed(stack):
-            if e.name in FOREIGN or e.name in WITHIN_FOREIGN:
-                return e.name in FOREIGN
-        return False
+                open_.cut(len(stack) - 1)
+            stack[-1].children.append(unescape(value))
 
     foreign = False  # whether any such element has begun
     while at < n:
-        start = source.find("<", at)
-        if start < 0:
+        m = MARKUP.search(source, at)
+        if not m:
             text(source[at:])
             break
-        text(source[at:start])
-        if source.startswith("<!--", start):
-            end = -1 if no_comment_end else source.find("-->", start + 4)
-            if end < 0:  # no comment ends from here on
-                no_comment_end = True
-                break
-            at = end + 3
-            continue
-        if source.startswith(("<!", "<?"), start):
-            end = source.find(">", start)
-            at = n if end < 0 else end + 1
-            continue
+        start = m.start()
+        if start > at:
+            text(source[at:start])
         m = TAG.match(source, start)
         if not m:
-            text("<")
-            at = start + 1
+            if source.startswith("<!--", start):
+                m = COMMENT_END.search(source, start + 2)
+                at = m.end() if m else n
+            elif TAG_START.match(source, start):
+                break  # a tag that never ends
+            else:
+                end = source.find(">", start)
+                at = n if end < 0 else end + 1
             continue
         at = m.end()
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in TABLE and name not in ("table", "div", "body", "html"):
-                    break
-            else:
-                if name in ("br", "p"):
-                    stack[-1].children.append(Element(name))
+            own, table = (d[-1] if (d := open_.at.get(x)) else 0 for x in (name, "table"))
+            if own and (own >= table or name in ("div", "body", "html")):
+                open_.cut(own)
+            elif not own and not table and name in ("br", "p"):
+                stack[-1].children.append(Element(name))
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
-            stack.pop()
+            open_.cut(len(stack) - 1)
         if foreign and name in ENDS_FOREIGN:
-            while is_foreign():
-                stack.pop()
-        if name in ENDS_P:
-            close(frozenset({"p"}), TABLE | {"td", "th", "li", "dd", "button", "object"})
+            while open_.is_foreign():
+                open_.cut(len(stack) - 1)
+        if name in ENDS_P and open_.at.get("p"):
+            open_.close(P, P_BARRIER)
         if stack[-1].name == "colgroup" and name not in IN_COLGROUP:
-            stack.pop()
+            open_.cut(len(stack) - 1)
         if name in IMPLIED:
-            close(IMPLIED[name], BARRIER.get(name, TABLE))
+            open_.close(IMPLIED[name], BARRIER.get(name, TABLE))
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
-            stack[-1].children.append(Element("tr"))
-            stack.append(stack[-1].children[-1])
-        found = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else None
+            row = Element("tr")
+            stack[-1].children.append(row)
+            open_.push(row)
+        found = {a.lower(): unescape(b or c or d or "") for a, b, c, d in reversed(ATTRIBUTE.findall(m[3]))} if m[3].strip(" /") else None
         element = Element(name, found)
         stack[-1].children.append(element)
         if name in VOID:
             continue
         foreign = foreign or name in FOREIGN
-        if foreign and m[3].endswith("/") and not UNQUOTED.search(m[3]) and (name in FOREIGN or is_foreign()):
+        if foreign and _ends_itself(m[3]) and (name in FOREIGN or open_.is_foreign()):
             continue
         if name in RAW:
-            low = source.lower() if low is None else low
-            low = low if len(low) == n else re.sub("[A-Z]", lambda x: x[0].lower(), source)
-            end = low.find(f"</{name}", at)
-            end = n if end < 0 else end
+            m = RAW_END[name].search(source, at)
+            end = m.start() if m else n
             value = source[at:end]
-            element.children.append(html.unescape(value).removeprefix("\n") if name == "textarea" else value)
+            element.children.append(unescape(value).removeprefix("\n") if name == "textarea" else value)
             end = source.find(">", end)
             at = n if end < 0 else end + 1
             continue
-        if len(stack) < DEEPEST:
-            stack.append(element)
+        open_.push(element)
     return root
 
 
 def is_hidden(e: Element) -> bool:
     a = e.attributes
-    return e.name in HIDDEN or bool(a) and ("hidden" in a and a["hidden"].lower() != "until-found" or bool(INVISIBLE.search(a.get("style", ""))) or e.name == "dialog" and "open" not in a or e.name == "input") or e.name in ("input", "dialog") and "open" not in a
+    if e.name in HIDDEN or e.name == "input" or e.name == "dialog" and "open" not in a:
+        return True
+    return bool(a) and ("hidden" in a and a["hidden"].lower() != "until-found" or bool(INVISIBLE.search(a.get("style", ""))))
 
 
 class Lines:
-    """Text as it is laid out: words on the current line, breaks, and an indent."""
+    """Text as it is laid out: words on the current line, breaks, an indent, and the counters of open lists."""
 
     def __init__(self):
         self.out: list[str] = []
         self.line: list[str] = []
         self.gap = 0
-        self.prefix = ""
+        self.indent = 0
         self.mark = ""
+        self.counters: list[int | None] = []
+        self.held: list[tuple[int, str]] = []
 
     def words(self, value: str, kept: bool = False) -> None:
         if kept:
@@ -200,101 +235,170 @@ class Lines:
 
     def end(self, gap: int) -> None:
         """Ends the line; gap: line ends that stand before the next one at least."""
-        value = "".join(self.line).rstrip()
-        self.line.clear()
-        if value.strip():
-            self.out += ["\n" * self.gap if self.out else "", self.prefix + self.mark + value]
-            self.gap, self.mark = 0, " " * len(self.mark)
+        if self.line:
+            value = "".join(self.line).rstrip()
+            self.line.clear()
+            if value.strip():
+                self.out += ["\n" * self.gap if self.out else "", " " * self.indent + self.mark + value]
+                self.gap, self.mark = 0, " " * len(self.mark)
         self.gap = max(self.gap, gap)
 
+    def step_in(self, more: int, mark: str) -> None:
+        self.held.append((self.indent, self.mark))
+        self.indent = min(MOST_INDENT, self.indent + len(self.mark) + more)
+        self.mark = mark
+
+    def step_out(self) -> None:
+        self.indent, self.mark = self.held.pop()
+
     def text(self) -> str:
         self.end(0)
         return "".join(self.out)
 
 
-def render(root: Element, level: int = 0) -> str:
-    """The visible text; an explicit stack serves for the walk, so deep trees are no matter. level: of nested tables."""
+class Grid:
+    """Rows of an outermost table; a cell is laid out by itself and its lines become one."""
+
+    def __init__(self, around: Lines):
+        self.around, self.rows = around, []
+
+    def lines(self) -> list[str]:
+        """Rows with cells padded to their columns. A column in which no cell stands alone takes no room."""
+        widths: dict[int, int] = {}
+        for row in self.rows:
+            at = 0
+            for value, span in row:
+                if span == 1:
+                    widths[at] = max(widths.get(at, 0), min(len(value), MOST_WIDTH))
+                at += span
+        columns = sorted(widths)
+        before = [0, *accumulate(widths[c] + len(PART) for c in columns)]
+        out = []
+        for row in self.rows:
+            line, at = [], 0
+            for value, span in row:
+                room = before[bisect_left(columns, at + span)] - before[bisect_left(columns, at)] - len(PART)
+                line.append(value.ljust(max(0, room)))
+                at += span
+            out.append(PART.join(line).rstrip())
+        return [x for x in out if x.strip(" |")]
+
+
+PART = " | "
+SECTIONS = frozenset({"tbody", "thead", "tfoot"})
+CELLS = frozenset({"td", "th"})
+
+
+def render(root: Element) -> str:
+    """The visible text; an explicit stack serves for the walk, so deep trees are no matter.
+
+    Within a cell, a nested table's rows follow each other on the cell's one line.
+    """
     lines = Lines()
+    grids: list[Grid] = []  # one at most is open: that of the outermost table
     todo: list[tuple] = [("open", root, False)]
-    counters: list[int | None] = []
-    depth: list[tuple[str, str]] = []
     while todo:
         what, e, kept = todo.pop()
-        if what == "close":
-            if e.name == "li":
-                lines.end(1)
-                lines.prefix, lines.mark = depth.pop()
-            elif e.name in ("ul", "ol", "menu"):
-                lines.end(2 if len(counters) == 1 else 1)
-                counters.pop()
-            elif e.name in ("blockquote", "dd"):
-                lines.end(2 if e.name == "blockquote" else 1)
-                lines.prefix, lines.mark = depth.pop()
-            elif e.name in BLOCK:
-                lines.end(2 if e.name in SPACED else 1)
-            continue
-        if isinstance(e, str):
-            lines.words(e, kept)
-            continue
-        if is_hidden(e):
-            continue
-        if e.name == "br":
+        if what == "open":
+            if isinstance(e, str):
+                lines.words(e, kept)
+            elif not is_hidden(e):
+                if e.name == "table":
+                    lines.end(2)
+                    if not grids:
+                        grids.append(Grid(lines))
+                        todo += [("table", e, False), *_table(e, "cell")]
+                    else:
+                        todo += [("gap", 2, False), *_table(e, "nested")]
+                else:
+                    _open(e, kept, lines, todo)
+        elif what == "close":
+            _close(e, lines)
+        elif what == "gap":
+            lines.end(e)
+        elif what == "row":
+            grids[-1].rows.append([])
+        elif what == "cell":
+            lines = Lines()
+            todo.append(("fill", e, False))
+            todo += [("open", c, False) for c in reversed(e.children)]
+        elif what == "fill":
+            grids[-1].rows[-1].append((SPACE.sub(" ", lines.text()).strip(), _span(e)))
+            lines = grids[-1].around
+        elif what == "part":  # between cells of a nested row
+            lines.line.append(PART)
+        elif what == "trim":  # after a nested row: what parts off empty cells at its end goes
+            while lines.line and lines.line[-1] == PART:
+                lines.line.pop()
             lines.end(1)
-            continue
-        if e.name == "img":
-            if e.attributes.get("alt", "").strip():
-                lines.words(e.attributes["alt"])
-            continue
-        if e.name == "textarea":
-            lines.end(1)
-            lines.words(e.children[0] if e.children else "", True)
-            lines.end(1)
-            continue
-        if e.name == "svg":
-            for x in _svg_texts(e):
-                todo.append(("open", x, False))
-            continue
-        if e.name == "table" and level < NESTED:
-            lines.end(2)
-            for row in _table(e, level + 1):
+        elif what == "table":
+            for row in grids.pop().lines():
                 lines.line.append(row)
                 lines.end(1)
             lines.end(2)
-            continue
-        if e.name in BLOCK:
-            nested = e.name in ("ul", "ol") and bool(counters)
-            lines.end(2 if e.name in SPACED and not nested else 1)
-        if e.name in ("ul", "ol", "menu"):
-            start = e.attributes.get("start", "1")
-            counters.append(int(start) if e.name == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1 if e.name == "ol" else None)
-        elif e.name == "li":
-            depth.append((lines.prefix, lines.mark))
-            lines.prefix += " " * len(lines.mark)
-            lines.mark = "- "
-            if counters and counters[-1] is not None:
-                lines.mark = f"{counters[-1]}. "
-                counters[-1] += 1
-        elif e.name in ("blockquote", "dd"):
-            depth.append((lines.prefix, lines.mark))
-            lines.prefix += " " * len(lines.mark) + "    "
-            lines.mark = ""
-        elif e.name in ("td", "th"):  # outside a table
-            lines.words(" ")
-        label = e.attributes.get("label", "").strip() if e.name in ("option", "optgroup") else ""
-        if label:
-            lines.words(label)
-            lines.end(1)
-        todo.append(("close", e, kept))
-        if label and e.name == "option":  # shown in place of its text
-            continue
-        if e.name in PARTED:
-            todo += [("open", x, kept) for c in reversed(e.children) for x in (c, " ")]
-            continue
-        kept = kept or e.name == "pre"
-        todo += [("open", c, kept) for c in reversed(e.children)]
     return lines.text()
 
 
+def _open(e: Element, kept: bool, lines: Lines, todo: list[tuple]) -> None:
+    if e.name == "br":
+        lines.end(1)
+        return
+    if e.name == "img":
+        if e.attributes.get("alt", "").strip():
+            lines.words(e.attributes["alt"])
+        return
+    if e.name == "textarea":
+        lines.end(1)
+        lines.words(e.children[0] if e.children else "", True)
+        lines.end(1)
+        return
+    if e.name == "svg":
+        todo += [("open", x, False) for x in _svg_texts(e)]
+        return
+    if e.name in BLOCK:
+        nested = e.name in ("ul", "ol") and bool(lines.counters)
+        lines.end(2 if e.name in SPACED and not nested else 1)
+    if e.name in ("ul", "ol", "menu"):
+        start = e.attributes.get("start", "1")
+        lines.counters.append(int(start) if e.name == "ol" and re.fullmatch(r"-?[0-9]{1,9}", start) else 1 if e.name == "ol" else None)
+    elif e.name == "li":
+        mark = "- "
+        if lines.counters and lines.counters[-1] is not None:
+            mark = f"{lines.counters[-1]}. "
+            lines.counters[-1] += 1
+        lines.step_in(0, mark)
+    elif e.name in ("blockquote", "dd"):
+        lines.step_in(4, "")
+    elif e.name in CELLS:  # outside a table
+        lines.words(" ")
+    label = e.attributes.get("label", "").strip() if e.name in ("option", "optgroup") else ""
+    if label:
+        lines.words(label)
+        lines.end(1)
+    todo.append(("close", e, kept))
+    if label and e.name == "option":  # shown in place of its text
+        return
+    if e.name in PARTED:
+        todo += [("open", x, kept) for c in reversed(e.children) for x in (c, " ")]
+        return
+    kept = kept or e.name == "pre"
+    todo += [("open", c, kept) for c in reversed(e.children)]
+
+
+def _close(e: Element, lines: Lines) -> None:
+    if e.name == "li":
+        lines.end(1)
+        lines.step_out()
+    elif e.name in ("ul", "ol", "menu"):
+        lines.end(2 if len(lines.counters) == 1 else 1)
+        lines.counters.pop()
+    elif e.name in ("blockquote", "dd"):
+        lines.end(2 if e.name == "blockquote" else 1)
+        lines.step_out()
+    elif e.name in BLOCK:
+        lines.end(2 if e.name in SPACED else 1)
+
+
 def _svg_texts(svg: Element) -> list[Element]:
     """What a drawing shows, last first: its texts as lines of their own."""
     out, todo = [], [svg]
@@ -309,58 +413,33 @@ def _svg_texts(svg: Element) -> list[Element]:
     return out[::-1]
 
 
-def _table(table: Element, level: int) -> list[str]:
-    """Rows of a table with cells padded to their columns; a cell's own lines become one."""
-    rows, caption = [], []
-    sections = [x for x in table.children if isinstance(x, Element) and not is_hidden(x)]
-    for e in sections:
-        if e.name == "caption":
-            caption.append(SPACE.sub(" ", render(_as_block(e), level)))
-        for c in [e] if e.name == "tr" else e.children if e.name in ("tbody", "thead", "tfoot") else []:
-            if isinstance(c, Element) and c.name == "tr" and not is_hidden(c):
-                rows.append([x for x in c.children if isinstance(x, Element) and x.name in ("td", "th") and not is_hidden(x)])
-    # Strays between rows and cells are seen before the table, as browsers show them.
-    strays = [x for x in _strays(table, level) if x.strip()]
-    cells = [[(SPACE.sub(" ", render(_as_block(c), level)).strip(), _span(c)) for c in row] for row in rows]
-    widths: list[int] = []
-    for row in cells:
-        at = 0
-        for value, span in row:
-            if span == 1:
-                widths += [0] * (at + 1 - len(widths))
-                widths[at] = max(widths[at], len(value))
-            at += span
-    out = []
-    for row in cells:
-        line, at = [], 0
-        for value, span in row:
-            line.append(value.ljust(sum(widths[at : at + span]) + 3 * (span - 1)))
-            at += span
-        out.append(" | ".join(line).rstrip())
-    return strays + caption + [x for x in out if x.strip(" |")]
-
-
-def _strays(table: Element, level: int) -> list[str]:
-    out = []
-    todo = [table]
+def _table(table: Element, kind: str) -> list[tuple]:
+    """What is to be done for a table, last first: strays between rows and cells, which browsers show before it, captions, and rows."""
+    strays: list[tuple] = []
+    captions: list[tuple] = []
+    rows: list[tuple] = []
+    todo: list[Element | str] = [table]
     while todo:
-        e = todo.pop(0)
-        for c in e.children:
-            if isinstance(c, str):
-                out.append(SPACE.sub(" ", c).strip())
-            elif is_hidden(c) or c.name in ("caption", "col", "td", "th"):
-                continue
-            elif c.name in ("tbody", "thead", "tfoot", "tr", "colgroup"):
-                todo.append(c)
+        e = todo.pop()
+        if isinstance(e, str) or e is not table and e.name not in SECTIONS | {"tr", "colgroup", "caption", "col"}:
+            if not isinstance(e, str) or e.strip():
+                strays += [("open", e, False), ("gap", 1, False)]
+        elif e is not table and is_hidden(e):
+            continue
+        elif e.name == "caption":
+            captions += [("open", e, False), ("gap", 1, False)]
+        elif e.name == "tr":
+            cells = [c for c in e.children if isinstance(c, Element) and c.name in CELLS and not is_hidden(c)]
+            todo += [c for c in reversed(e.children) if isinstance(c, str) or c.name not in CELLS]
+            if kind == "cell":
+                rows += [("row", e, False), *((kind, c, False) for c in cells)]
             else:
-                out.append(render(_as_block(c), level).strip())
-    return out
-
-
-def _as_block(e: Element) -> Element:
-    block = Element("div")
-    block.children = e.children if e.name in ("td", "th", "caption") else [e]
-    return block
+                for i, c in enumerate(cells):
+                    rows += [("part", c, False)] * (i > 0) + [("open", x, False) for x in c.children]
+                rows.append(("trim", e, False))
+        else:
+            todo += reversed(e.children)
+    return [*reversed(rows), *reversed(captions), *reversed(strays)]
 
 
 def _span(cell: Element) -> int:
@@ -375,7 +454,9 @@ def extract(source: str | None) -> str:
 def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per page: id and text (all that is visible; empty for null and empty pages).
 
-    Text without markup is itself, with white space collapsed. Repeated rows
-    and null ids are kept; no other column is read.
+    Text without markup is itself, with white space collapsed. Pages of any
+    length and depth are read whole, in linear time. An empty table gives an
+    empty table. Repeated rows and null ids are kept; other columns, whatever
+    their names, aren't read.
     """
     return map_texts(pages, lambda: lambda sources: [pa.array([extract(s) for s in sources], pa.string())], "text string", id_col, html_col)
