@@ -1,8 +1,13 @@
 import hashlib
+import os
 import random
 import re
+import string
+import uuid
+from pathlib import Path
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import by_id
@@ -85,6 +90,40 @@ def test_random_keys_of_one_case_and_in_groups_are_found():
         assert found(f"a {known} b") == []
 
 
+ALPHABETS = {
+    "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "letters": string.ascii_letters, "alphanumeric": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/", "base64url": string.ascii_letters + string.digits + "-_", "base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits,
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_planted_random_strings(name):
+    """Of each alphabet and length, 95 % at least are found, whole."""
+    tokens, rng = secrets.encoding(TIKTOKEN).encode_ordinary, random.Random(11)
+    for n in (20, 24, 32, 40, 64):
+        keys = ["".join(rng.choices(ALPHABETS[name], k=n)) for _ in range(300)]
+        found = sum(secrets.random_spans(f"id {k} end", [], tokens) == [("random", 3, 3 + n)] for k in keys)
+        assert found >= 0.95 * len(keys), (n, found)
+
+
+def test_planted_words_identifiers_and_digests_are_left_alone():
+    """Names of the standard library, digests, numbers: 99 % at least."""
+    tokens, rng = secrets.encoding(TIKTOKEN).encode_ordinary, random.Random(13)
+    names = set()
+    for f in sorted(Path(os.__file__).parent.glob("*.py")):
+        names.update(re.findall(r"(?<![A-Za-z0-9+/=_-])[A-Za-z_][A-Za-z0-9_]{19,}(?![A-Za-z0-9+/=_-])", f.read_text(encoding="utf-8", errors="ignore")))
+    digests = [h(str(i).encode()).hexdigest() for i in range(200) for h in (hashlib.md5, hashlib.sha1, hashlib.sha224, hashlib.sha256, hashlib.sha512)]
+    ids = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(200)] + [f"{rng.getrandbits(80)}" for _ in range(200)] + [f"2024-0{i % 9 + 1}-11_10-{i}-00-{i:06}" for i in range(200)]
+    for known in (sorted(names), digests, [d.upper() for d in digests], ids):
+        alarms = [x for x in known if secrets.random_spans(f"a {x} b", secrets.base_spans(f"a {x} b"), tokens)]
+        assert len(known) > 500 and len(alarms) <= 0.01 * len(known), alarms[:20]
+
+
+def test_least_length_is_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "key q7Zx9LmP2vKt8R end")], "doc_id long, text string")
+    assert [len(secrets.find_secrets(docs, TIKTOKEN, least=n).first().spans) for n in (14, 15)] == [1, 0]
+
+
 def test_secrets_query_columns(spark, odd_docs, no_docs):
     docs = odd_docs.unionByName(spark.createDataFrame([(9, "é password=abc123XYZ ", None, "x", 1, 2, "y", 3)], odd_docs.schema))
     found = secrets.find_secrets(docs, TIKTOKEN).select("doc_id", *[c.alias(k) for k, c in span_digest(F.col("spans"), secrets.BASE).items()])
