@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelark.llm import stages
-from tidelark.llm.common import staged
+from tidelark.session import release, staged, staged_paths
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(staged_paths())
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        own = [p for p in staged_paths() if p not in others]
+        release(own[:-1])  # all but what this stage has just written
     return docs

@@ -81,7 +81,7 @@ def test_one_of_each_with_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(1, t[0], "x"), (1, t[0], "x"), (2, t[0], "x"), (3, t[1], "x"), (None, t[2], "x"), (None, t[2], "x"), (4, t[3], "x")], "doc_id long, text string, root string")
     kept = stages.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4]  # copies without an id are one group as well
 
 
 def test_one_row_of_each_group_stays_where_an_id_names_several_texts(spark):
@@ -94,3 +94,59 @@ def test_one_row_of_each_group_stays_where_an_id_names_several_texts(spark):
         kept.append(sorted((r.doc_id, r.text, r.source) for r in stages.keep_one_of_each(docs).collect()))
     assert kept[0] == kept[1]
     assert sorted((i, x) for i, x, _ in kept[0]) == sorted([(1, t[0]), (1, t[1]), (1, t[2]), (2, t[3]), (4, t[4]), (4, t[5])])
+
+
+CLASHING = ["n_words", "n_hit", "item_ids", "component_id", "fp", "id", "part", "rank", "_key", "n", "spans", "lang_pred", "count"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (None, "no id but words in a text", None, None, 3), (10**6 + 2, "call +1 (988) 555-2485 " + "word " * 40_000, "en", "s", 7)], docs.schema))
+    for i, c in enumerate(CLASHING):
+        docs = docs.withColumn(c, stages.F.lit(700 + i))
+    return stages.staged(docs, "clashing")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark, clashing, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = stage(spark, clashing, SF).collect()
+    empty = stage(spark, clashing.where("false"), SF)
+    assert rows and empty.count() == 0
+    if name != "packing":
+        assert empty.columns == clashing.columns
+        assert all([r[c] for c in CLASHING] == list(range(700, 700 + len(CLASHING))) for r in rows)
+
+
+def test_no_setting_differs_after_a_stage_and_nothing_is_left(spark, clashing):
+    before, held = dict(spark.conf.getAll), set(stages.staged_paths())
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, clashing, SF).count()
+    assert dict(spark.conf.getAll) == before
+    stages.release(set(stages.staged_paths()) - held)
+    assert set(stages.staged_paths()) == held
+
+
+def test_run_deletes_what_it_no_longer_reads(spark):
+    held = set(stages.staged_paths())
+    out = corpus_pipeline.run(spark, SF)
+    assert len(set(stages.staged_paths()) - held) == 1 and out.count() > 100
+
+
+def test_shared_folder_is_named_on_a_cluster(spark, monkeypatch):
+    from tidelark import session
+
+    class Far:
+        master = "spark://far:7077"
+
+    class Other:
+        sparkContext = Far()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        session.shared_dir(Other())

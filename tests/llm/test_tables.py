@@ -147,6 +147,56 @@ def test_components_of_clusters_and_chains(spark, monkeypatch):
     assert len(set(want.values())) < len(set(fps)) * 0.7
 
 
+def test_pairs_of_postings_against_brute_force(monkeypatch):
+    rng = random.Random(9)
+    for pairs in (1 << 20, 64):
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        sizes = [rng.choice([1, 1, 2, 3, 3, 7, 30]) for _ in range(60)]
+        centres = [rng.getrandbits(64) for _ in sizes]
+        members = [c ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 4))}) for c, n in zip(centres, sizes) for _ in range(n)]
+        want, at = set(), 0
+        for n in sizes:
+            want |= {(i, j) for i in range(at, at + n) for j in range(i + 1, at + n) if (members[i] ^ members[j]).bit_count() <= 2}
+            at += n
+        got = simhash.matches(np.array(members, np.uint64), np.array(sizes))
+        assert set(zip(*(x.tolist() for x in got))) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("positions", range(1, 7))
+def test_any_pair_that_qualifies_meets(positions):
+    """Of any n + 2 positions two can differ, so each pair within two bits has a key in common, and its own alone."""
+    rng, mask = random.Random(positions), (1 << 64) - 1
+    of = lambda x: {(x & m & mask) ^ (s & mask) for m, s in simhash.choices(positions)}
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        assert of(x) & of(x ^ (1 << rng.randrange(64) | 1 << rng.randrange(64)))
+    assert [simhash.positions_for(n) for n in (0, 1, 8192, 8193, 2**21, 2**29 + 1, 2**60)] == [1, 1, 1, 2, 2, 4, 6]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_large_postings_are_indexed_anew(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(simhash, "HOT", 3)
+    rng = random.Random(16)
+    centre = rng.getrandbits(64)
+    fps = list({centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 4))}) for _ in range(300)} | {rng.getrandbits(64) for _ in range(200)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    table = simhash.staged(spark.createDataFrame([(f,) for f in signed], "fp long"), "fps")
+    roots = {r.node: r.root for r in simhash.components(simhash.staged(simhash.links(table, large=16), "links")).collect()}
+    groups = {}
+    for i, f in enumerate(signed):
+        groups.setdefault(roots.get(f, f), []).append(i)
+    assert {fps[i]: min(g) for g in groups.values() for i in g} == union_find(list(enumerate(fps)))
+
+
+def test_hot_fingerprints_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 3)
+    docs = [(i, "the same text here") for i in range(40)] + [(100 + i, f"text number {i} of some others") for i in range(20)] + [(200, None)] * 9
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = union_find([(i, plain_fingerprint(t)) for i, t in docs])
+    assert got == {i: want[plain_fingerprint(t)] for i, t in docs}
+
+
 def test_near_duplicates_against_brute_force(spark, words, odd_docs, no_docs):
     rng = random.Random(7)
     docs = []

@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidelark.session import ship, staged
+from tidelark.session import ship, staged, unstage
 
-__all__ = ["map_texts", "small_batches", "staged", "unstage"]
+__all__ = ["map_texts", "slices", "staged", "unstage"]
 
-#: Rows and bytes of one Arrow batch; a single longer text still goes through whole.
+#: Rows and bytes of text that are turned into Python objects at a time; a single longer text still goes through whole.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
-def unstage(df: DataFrame) -> None:
-    """Deletes what `staged` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows and bytes, so that very long texts don't fill a worker's memory; executors get this package."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+def slices(batches: Iterable[pa.RecordBatch], text: int | str) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in smaller ones, bounded by rows and by the bytes of a text column, so that long texts don't fill a worker's memory."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
+        i = 0
+        while i < len(batch):
+            fit = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_BYTES, "right"))
+            n = min(max(fit, i + 1), i + BATCH_ROWS) - i
+            yield batch.slice(i, n)
+            i += n
 
 
 def map_texts(df: DataFrame, make, schema: str, id_col: str, text_col: str, binary: bool = False) -> DataFrame:
@@ -35,7 +36,7 @@ def map_texts(df: DataFrame, make, schema: str, id_col: str, text_col: str, bina
 
     Only the id and text columns are read; the id comes first in the result.
     """
-    small_batches(df.sparkSession)
+    ship(df.sparkSession)
     text = F.col(text_col).cast("binary" if binary else "string")
     pair = df.select(F.col(id_col).alias("id"), text.alias("text"))
     kind = dict(pair.dtypes)["id"]
@@ -43,7 +44,7 @@ def map_texts(df: DataFrame, make, schema: str, id_col: str, text_col: str, bina
 
     def run(batches):
         f = make()
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), *f(batch.column(1).to_pylist())], names=names)
 
     return pair.mapInArrow(run, f"`{id_col}` {kind}, {schema}")

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.llm.common import small_batches
+from tidelark.llm.common import slices
+from tidelark.session import ship
 
 WINDOW = 10
 #: Bytes of item text in a block, about; its index takes some ten times as much in a worker.
@@ -39,11 +40,11 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]
 
 def document_counts(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str) -> dict[bytes, int]:
     """In how many documents each word of a block's vocabulary occurs."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         counts = dict.fromkeys(vocabulary, 0)
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text in batch.column(0).to_pylist():
                 for w in vocabulary.intersection(words_of(text)):
                     counts[w] += 1
@@ -93,7 +94,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 def _pass(found: DataFrame, shared, last: bool) -> DataFrame:
     """Adds a block's hits to those so far; the last pass turns them into the result's columns."""
-    small_batches(found.sparkSession)
+    ship(found.sparkSession)
     kinds = dict(found.dtypes)
     hidden = (_TEXT, _SPANS, _ITEMS)
     columns = {c: k for c, k in kinds.items() if c not in hidden} | ({"n_words": "bigint", "n_hit": "bigint", "item_ids": kinds[_ITEMS]} if last else {c: kinds[c] for c in hidden})
@@ -101,7 +102,7 @@ def _pass(found: DataFrame, shared, last: bool) -> DataFrame:
     def run(batches):
         index, prefixes = shared.value
         keys = frozenset(prefixes)
-        for batch in batches:
+        for batch in slices(batches, _TEXT):
             texts, spans, items = (batch.column(c) for c in hidden)
             n_words, n_hit, all_spans, all_items = [], [], [], []
             for text, before, had in zip(texts.to_pylist(), spans.to_pylist(), items.to_pylist()):

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.llm.common import map_texts, small_batches
+from tidelark.llm.common import map_texts, slices
+from tidelark.session import ship
 
 UNKNOWN = "und"
 #: Labelled documents for learning: about so many for each language, chosen by a hash of their id.
@@ -59,7 +60,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     driver is a count for each language and bucket, whatever the corpus.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").where(~is_held_out(F.col("id")))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -71,7 +72,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 own += np.bincount(trigrams(text), minlength=BUCKETS)

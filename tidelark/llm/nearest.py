@@ -22,7 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelark.llm.common import small_batches, staged
+from tidelark.llm.common import staged
+from tidelark.session import ship
 
 #: Points of a shard, about; out-edges; width of the beam while building and searching; relaxation.
 SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 32, 64, 128, 1.2
@@ -210,7 +211,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     no candidates. Ties go to the smaller id. Queries get all candidates if
     fewer than k. No other column is read.
     """
-    small_batches(vectors.sparkSession)
+    ship(vectors.sparkSession)
     take = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
     kind = dict(vectors.select(F.col(id_col).alias("id")).dtypes)["id"]
     smallest = Window.partitionBy("v").orderBy("id")

@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelark.llm.common import small_batches, staged
+from tidelark.llm.common import slices, staged
 from tidelark.llm.token_count import byte_letters
+from tidelark.session import ship
 
 CAPACITY, END_ID = 1024, 2
 #: Rounding wastes room: on lengths like the test tables' 48 groups need 1.5 % more sequences than the sum of tokens does, 1,000 groups 0.03 %.
@@ -196,13 +197,13 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     exist on every executor.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(pair.dtypes)["id"]
 
     def tokenise(batches):
         encode, part, seen = encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows, at, ids = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 tokens = np.array([*encode(text or ""), end_id], dtype="<u4")

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.llm.common import small_batches
+from tidelark.llm.common import slices
 from tidelark.llm.spans import Span, marks, ordered, span_table
+from tidelark.session import ship
 
 BASE = ["email", "ip", "card", "phone"]
 LABELS = ["other", *BASE]
@@ -240,14 +241,14 @@ def fit(counts: dict[tuple, int]) -> Field:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
     """The field, from about `sample_docs` documents chosen by a hash of their id (all, if there are fewer)."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     n = docs.count()
     draw = F.pmod(F.xxhash64(F.lit("pii"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     sample = docs.where(draw < min(1.0, sample_docs / max(1, n))).select(F.col(text_col).cast("string").alias("text"))
 
     def count(batches):
         total = Counter()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text in batch.column(0).to_pylist():
                 if text and ANY.search(text):
                     total.update(statistics(text))

@@ -11,12 +11,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelark.llm import decontaminate, language, packing, pii, simhash
-from tidelark.llm.common import small_batches, staged
+from tidelark.llm.common import slices, staged
+from tidelark.session import release, ship, staged_paths
+
+
+__all__ = ["drop_benchmark", "keep_known_languages", "keep_one_of_each", "pack", "redact_personal", "release", "staged", "staged_paths"]
 
 
 def _map(docs: DataFrame, run) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    ship(docs.sparkSession)
+    return docs.mapInArrow(lambda batches: run(slices(batches, "text")), docs.schema)
+
+
+def _named_apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under column names that no operator uses, and those names by the own ones."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()]), names
+
+
+def _named_back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
@@ -33,23 +47,25 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each group of near-duplicates, one row: that of the smallest id, then of the least hash of its text, then of its columns; documents without an id stay."""
-    # An id can name several rows, even of several groups, so rows go by their id and hashes. Maps have no hash.
-    hashed = [F.col(f"`{c}`") for c, k in docs.dtypes if "map<" not in k]
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_row_hash", F.xxhash64(*hashed))
-    key = F.struct("doc_id", "_text_hash", "_row_hash")
-    found = simhash.near_duplicates(rows.select(F.when(F.col("doc_id").isNotNull(), key).alias("_key"), "text"), "_key")
-    kept = found.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("_rows"))
-    kept = staged(kept.select("_key.*", "_rows"), "kept")
-    names = ["doc_id", "_text_hash", "_row_hash"]
-    once = rows.join(kept.where("_rows = 1").hint("shuffle_hash"), names, "left_semi")
-    often = rows.join(kept.where("_rows > 1"), names, "left_semi").dropDuplicates(names)  # copies in all columns
-    return once.unionByName(often).unionByName(rows.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near-duplicates, one row: that of the smallest id (any before none), then of the least hash of its text, then of its columns."""
+    # An id can name several rows, even of several groups, or be missing, so rows go by their id and hashes. Maps have no hash.
+    own, names = _named_apart(docs)
+    hashed = [F.col(c) for c, k in own.dtypes if "map<" not in k]
+    i, text = F.col(names["doc_id"]), F.col(names["text"])
+    rows = own.withColumn("_key", F.struct(i.isNull().alias("no_id"), i.alias("id"), F.xxhash64(text).alias("text_hash"), F.xxhash64(*hashed).alias("row_hash")))
+    found = simhash.near_duplicates(rows.select("_key", text.alias("text")), "_key")
+    kept = staged(found.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("_rows")), "kept")
+    same = rows["_key"].eqNullSafe(kept["_key"])
+    once = rows.join(kept.where("_rows = 1").hint("shuffle_hash"), same, "left_semi")
+    often = rows.join(kept.where("_rows > 1"), same, "left_semi").dropDuplicates(["_key"])  # copies in all columns
+    return _named_back(once.unionByName(often), names)
 
 
 def drop_benchmark(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Drops documents in which a window of a benchmark item occurs."""
-    return decontaminate.find_benchmark(docs, items, carry=True).where("n_hit = 0").select(*docs.columns)
+    own, names = _named_apart(docs)
+    found = decontaminate.find_benchmark(own, items, id_col=names["doc_id"], text_col=names["text"], carry=True)
+    return _named_back(found.where("n_hit = 0"), names)
 
 
 def redact_personal(docs: DataFrame) -> DataFrame:
