@@ -39,6 +39,16 @@ def test_urls_against_brute_force(spark, monkeypatch, limit):
     assert url_filter.judge_urls(pages.where("false")).count() == 0
 
 
+def test_urls_meet_rules_by_prefix_alone(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.com/en/1")], "page_id long, url string")
+    plan = url_filter.judge_urls(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [prefix#" in plan and "SortAggregate" not in plan
+    assert all("digest" not in keys for keys in re.findall(r"HashJoin (\[[^\]]*\], \[[^\]]*\])", plan))
+    # Rules whose prefixes collide are told apart by their full digests.
+    monkeypatch.setattr(url_filter, "PREFIX_BYTES", 0)
+    test_urls_against_brute_force(spark, monkeypatch, 50_000)
+
+
 def words8(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

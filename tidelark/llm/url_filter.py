@@ -1,9 +1,9 @@
 """URL filters by hash-prefix lists.
 
 Each URL is expanded into expressions, a suffix of its host with a prefix of
-its path. An expression meets a rule by an equi-join on the first four bytes
-of its SHA-256; the full digest then confirms the pair, and the longest rule
-of a URL wins. Suffixes and prefixes are expanded only at the label counts and
+its path. An expression meets the rules of a digest prefix, the first four
+bytes of SHA-256, by an equi-join; the full digest then confirms one of them,
+and the longest rule of a URL wins. Suffixes and prefixes are expanded only at the label counts and
 path lengths that rules have, which finds the same rules as all expansions.
 """
 
@@ -35,13 +35,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "p
 
     A rule fits its host and all subdomains if the URL's path starts with the
     rule's. The longest rule (host and path together) wins; at equal length the
-    longer host, then `block`. Null URLs and those without :// have an empty
-    host and path and get `default`, as does every URL no rule fits. A rule
-    with an empty host fits nothing. Repeated rows and null ids are kept.
-    Other columns aren't read.
+    longer host, then `block`. Null and empty URLs and those without :// have
+    an empty host and path and get `default`, as does every URL no rule fits;
+    URLs of any length are read whole. A rule with an empty host fits nothing.
+    Repeated rows and null ids are kept. An empty table gives an empty table.
+    Other columns, whatever their names, aren't read.
     """
     spark = pages.sparkSession
-    rules = [r for r in dict.fromkeys(rules) if r.host]
+    # By precedence: a rule's place in this order is what is compared from here on.
+    rules = sorted({r for r in rules if r.host}, key=lambda r: (len(r.host) + len(r.path), len(r.host), r.verdict == "block", r))
     labels = sorted({r.host.count(".") + 1 for r in rules})
     lengths = sorted({len(r.path) for r in rules})
     after = F.when(F.locate("://", F.col("url")) > 0, F.expr("substring(url, locate('://', url) + 3)"))
@@ -55,11 +57,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "p
     if not rules:
         return parts.select(*out, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    listed = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "r_host string, r_path string, r_verdict string")
+    small = len(rules) <= BROADCAST_RULES
+    listed = spark.createDataFrame([(i, r.host, r.path, r.verdict) for i, r in enumerate(rules)], "place int, r_host string, r_path string, verdict string")
     digest = F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256)
-    listed = listed.withColumn("r_digest", digest).withColumn("r_prefix", F.substring("r_digest", 1, 2 * PREFIX_BYTES))
-    if len(rules) <= BROADCAST_RULES:
-        listed = F.broadcast(listed)
+    entries = listed.select(digest.alias("digest"), "place").groupBy(F.substring("digest", 1, 2 * PREFIX_BYTES).alias("r_prefix")).agg(F.collect_list(F.struct("digest", "place")).alias("entries"))
+    texts = listed.select(F.col("place").alias("r_place"), F.concat("r_host", "r_path").alias("rule"), "verdict")
+    if small:
+        entries, texts = F.broadcast(entries), F.broadcast(texts)
 
     # The first expression of every URL is null: it carries the URL through the join once.
     n_labels = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
@@ -67,11 +71,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "p
     found = F.filter(F.array(*made), lambda x: x.isNotNull())
     rows = (
         parts.select("id", "host", "path", F.explode(F.concat(F.array(F.lit(None).cast("string")), found)).alias("expression"))
-        .withColumn("digest", F.sha2("expression", 256))
-        .withColumn("prefix", F.substring("digest", 1, 2 * PREFIX_BYTES))
+        .withColumn("full", F.sha2("expression", 256))
+        .withColumn("prefix", F.substring("full", 1, 2 * PREFIX_BYTES))
     )
-    hits = rows.join(listed, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")), "left").where(F.col("r_host").isNotNull() | F.col("expression").isNull())
-    # One row of two long keys each for a URL and rule: sums before the shuffle, so hot URLs and hosts stay small.
-    best = F.max(F.when(F.col("r_host").isNotNull(), F.struct((F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), (F.col("r_verdict") == "block").alias("block"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))))
-    judged = hits.groupBy("id", "host", "path").agg(best.alias("best"), F.count(F.when(F.col("expression").isNull(), 1)).alias("n"))
-    return judged.select(*out, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).drop("copy")
+    confirmed = F.array_max(F.transform(F.filter("entries", lambda e: e["digest"] == F.col("full")), lambda e: e["place"]))
+    hits = rows.join(entries, F.col("prefix") == F.col("r_prefix"), "left").select("id", "host", "path", F.col("expression").isNull().alias("first"), confirmed.alias("place")).where("first or place is not null")
+    # One number for each URL and expression that hits: the greatest is known before the shuffle, so hot URLs and hosts stay small.
+    judged = hits.groupBy("id", "host", "path").agg(F.max("place").alias("place"), F.count(F.when(F.col("first"), 1)).alias("n"))
+    named = judged.join(texts, F.col("place") == F.col("r_place"), "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return named.select(*out, "rule", "verdict", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).drop("copy")
