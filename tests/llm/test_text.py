@@ -92,6 +92,34 @@ def test_plans_place_every_piece():
         assert n <= 1.05 * best_fit(counts, capacity) + 2
 
 
+def test_configurations_are_the_optimum():
+    """Against a search over all multisets: at integral optima nothing is left over, and the value is the bound's."""
+    rng = random.Random(4)
+    for _ in range(20):
+        capacity = rng.choice([20, 30, 50])
+        sizes = sorted(rng.sample(range(capacity // 4 + 1, capacity), rng.randint(1, 6)), reverse=True)
+        wanted = [rng.randint(1, 400) for _ in sizes]
+        used = packing.configurations(sizes, wanted, capacity)
+        held = [sum(n * slots.count(s) for n, slots in used) for s in sizes]
+        assert all(sum(slots) <= capacity for _, slots in used) and all(h <= w for h, w in zip(held, wanted))
+        # Weak duality: no prices under which every multiset costs one at most can be worth more than the plan.
+        sets = [x for k in range(1, 4) for x in itertools.combinations_with_replacement(sizes, k) if sum(x) <= capacity]
+        for _ in range(20):
+            price = np.array([rng.random() for _ in sizes])
+            price /= max(sum(price[sizes.index(s)] for s in x) for x in sets)
+            assert sum(n for n, _ in used) + len(sizes) >= float(price @ wanted) - 1e-6
+        assert sum(w - h for w, h in zip(wanted, held)) <= 4 * len(sizes)
+
+
+def test_few_sizes_pack_nearly_as_tight_as_tokens_allow():
+    """A broad histogram: within 0.2 % of the sum of tokens."""
+    rng = np.random.default_rng(2)
+    lengths = np.clip(rng.lognormal(5.6, 0.9, 60_000).astype(int) + 1, 1, 1024)
+    counts = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}
+    _, n = packing.make_plan(counts, 1024)
+    assert n <= 1.002 * -(-int(lengths.sum()) // 1024)
+
+
 def best_fit(counts, capacity):
     """Sequences that best fit takes, piece by piece."""
     room, n = [0] * (capacity + 1), 0
