@@ -159,6 +159,54 @@ def test_mixture_recovers_proportions():
     assert np.allclose(share[0], [0.7, 0, 0.3], atol=0.02) and np.allclose(share[1], [1, 0, 0])
 
 
+def brute_mixture(like, penalty=language.PENALTY, rounds=language.ROUNDS):
+    """One document: expectation-maximisation over every subset of languages."""
+    best, out = -np.inf, None
+    like = like - like.max(axis=1, keepdims=True)
+    for k in range(1, like.shape[1] + 1):
+        for chosen in itertools.combinations(range(like.shape[1]), k):
+            p, share = np.exp(like[:, chosen]), np.full(k, 1 / k)
+            for _ in range(rounds):
+                part = share * p
+                share = (part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300)).mean(axis=0)
+            value = np.log(np.maximum((share * p).sum(axis=1), 1e-300)).sum() - penalty * 0.5 * k * np.log(len(like) + 1)
+            if value > best + 1e-9:
+                best, out = value, dict(zip(chosen, share))
+    return [out.get(i, 0.0) for i in range(like.shape[1])]
+
+
+def test_mixture_against_all_subsets():
+    rng = np.random.default_rng(5)
+    docs, want = [], []
+    for _ in range(150):
+        n, n_langs, k = rng.integers(1, 60), 5, rng.integers(1, 4)
+        truth = rng.choice(rng.choice(n_langs, k, replace=False), n)
+        like = rng.normal(-40, 3, (n, n_langs))
+        like[np.arange(n), truth] += rng.normal(6, 3, n)
+        docs.append(like)
+        want.append(brute_mixture(like))
+    got = language.mixture(np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs]), len(docs))
+    same = [np.allclose(g, w, atol=1e-6) for g, w in zip(got, want)]
+    assert np.mean(same) >= 0.99 and sum(np.count_nonzero(w) > 1 for w in want) > 40
+
+
+def test_a_second_language_need_not_be_second_alone():
+    """Language 1 is second by itself, as it is like 0; the other half of the document is written in 2."""
+    like = np.full((40, 3), -60.0)
+    like[:, 0], like[:, 1] = -50, -51
+    like[20:, 0], like[20:, 1], like[20:, 2] = -58, -57, -50
+    like[:20, 2] = -75
+    assert like.sum(axis=0).argsort().tolist()[0] == 2
+    assert np.allclose(language.mixture(like, np.zeros(40, int), 1), [[0.5, 0, 0.5]], atol=1e-3)
+
+
+def test_languages_are_learned_from_rows_with_like_or_missing_ids(spark):
+    rows = [(None, "der hund und die katze", "de"), (None, "the dog and the cat", "en")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logs = language.learn(docs, sample_docs=3)
+    assert langs == ["de", "en"] and language.predict(["und die katze", "and the cat"], langs, logs)[0] == ["de", "en"]
+
+
 def test_html_layout():
     t = html_text.extract("<head><title>no</title></head><body>a<ul><li>one<li>two<ol start=3><li>x<li>z</ol></ul>tail<p hidden>no<p>yes &amp; <b>bold</b> text<br>line<div style='display: none'>no</div><script>no</script>")
     assert t == "a\n\n- one\n- two\n  3. x\n  4. z\n\ntail\n\nyes & bold text\nline"

@@ -4,14 +4,19 @@ Character trigrams of the lower-cased letters are hashed into a fixed number of
 buckets; each language has smoothed log-probabilities for them. A document is
 a sequence of units of consecutive trigrams, each written in one language.
 Expectation-maximisation estimates the proportions of the languages; which
-languages take part is chosen by likelihood less a penalty for each (BIC),
-over the sets of the most likely ones. The prediction is the language of the
-largest proportion, which is also the score.
+languages take part is chosen by likelihood less a penalty for each (BIC). The
+prediction is the language of the largest proportion, which is also the score.
+
+Sets are searched by size: one language, then all pairs, then the best set so
+far with any further language. A document leaves the search once no larger set
+can pay its penalty, even if every unit were as likely as in its best
+language; so monolingual ones, nearly all, leave at once.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,7 @@ from tidelark.llm.common import map_texts, slices
 from tidelark.session import ship
 
 UNKNOWN = "und"
-#: Labelled documents for learning: about so many for each language, chosen by a hash of their id.
+#: Labelled documents for learning: about so many for each language, chosen by a hash of their id and text.
 SAMPLE_DOCS = 2000
 BUCKETS, UNIT, SMOOTHING = 1 << 16, 12, 0.2
 ROUNDS, PENALTY = 12, 1.0
@@ -55,20 +60,21 @@ def is_held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-probabilities (buckets x languages), from labelled rows that aren't held out.
 
-    About `sample_docs` rows of each language are read, chosen by a hash of the
-    id; with fewer labelled rows than that, all of them. What reaches the
-    driver is a count for each language and bucket, whatever the corpus.
+    About `sample_docs` rows of each language are read, chosen by a hash of id
+    and text, that of the least hash at any rate; with fewer labelled rows than
+    that, all of them. What reaches the driver is a count for each language and
+    bucket, whatever the corpus.
     """
     spark = docs.sparkSession
     ship(spark)
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").where(~is_held_out(F.col("id")))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    draw = F.pmod(F.xxhash64(F.lit("language"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = {r["lang"]: r for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()}
     if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    # A row is in the sample if the hash of its id is below its language's share.
-    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
-    draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.where(draw < share[F.col("lang")]).select("lang", "text")
+    # A row is in the sample if its draw is within its language's share.
+    share = F.create_map(*[x for k, r in sorted(sizes.items()) for x in (F.lit(k), F.lit(max(min(1.0, sample_docs / r["n"]), r["least"])))])
+    sample = usable.where(draw <= share[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
@@ -107,38 +113,58 @@ def mixture(like: np.ndarray, owner: np.ndarray, n_docs: int, rounds: int = ROUN
     n_langs = like.shape[1]
     starts = np.searchsorted(owner, np.arange(n_docs))
     sizes = np.bincount(owner, minlength=n_docs).astype(np.float64)
-    top = like.max(axis=1, keepdims=True)
-    scaled = np.exp(like - top)
-    total = np.add.reduceat(like, starts, axis=0)  # of documents written in one language
-
-    # Sets grow in the order of single-language likelihoods; the first is one language alone.
-    order = np.argsort(-total, axis=1, kind="stable")
-    base = np.add.reduceat(top[:, 0], starts)
-    best = total[np.arange(n_docs), order[:, 0]] - base - penalty * 0.5 * np.log(sizes + 1)
+    cost = penalty * 0.5 * np.log(sizes + 1)  # of a language
+    below = like - like.max(axis=1, keepdims=True)  # log-likelihoods less those under the best language of each unit
+    alone = np.add.reduceat(below, starts, axis=0)
+    first = alone.argmax(axis=1)
+    best = alone[np.arange(n_docs), first] - cost
     out = np.zeros((n_docs, n_langs))
-    out[np.arange(n_docs), order[:, 0]] = 1.0
-    # A mixture can gain at most the units' best likelihoods: documents that can't pay the next penalty are done.
+    out[np.arange(n_docs), first] = 1.0
+    held = out > 0  # the best set of each size, in turn
     for k in range(2, n_langs + 1):
-        open_ = np.flatnonzero(-penalty * 0.5 * k * np.log(sizes + 1) > best)
+        # A set's likelihood is 0 at most: documents that can't pay the next penalty are done.
+        open_ = np.flatnonzero(-k * cost > best)
         if not len(open_):
             break
         rows = np.flatnonzero(np.isin(owner, open_))
-        local = np.searchsorted(open_, owner[rows])
-        first = np.searchsorted(local, np.arange(len(open_)))
-        share = np.zeros((len(open_), n_langs))
-        np.put_along_axis(share, order[open_, :k], 1.0 / k, axis=1)
-        own = scaled[rows]
-        for _ in range(rounds):
-            part = share[local] * own
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-            share = np.add.reduceat(part, first, axis=0) / sizes[open_, None]
-        gain = np.add.reduceat(np.log(np.maximum((share[local] * own).sum(axis=1), 1e-300)), first) - penalty * 0.5 * k * np.log(sizes[open_] + 1)
-        better = gain > best[open_]
-        best[open_[better]] = gain[better]
-        out[open_[better]] = share[better]
+        own, local = below[rows], np.searchsorted(open_, owner[rows])
+        scaled, begins = np.exp(own), np.searchsorted(local, np.arange(len(open_)))
+        further = -(k + 1) * cost[open_] > best[open_] if k < n_langs else np.zeros(len(open_), bool)
+        top, chosen = np.full(len(open_), -np.inf), held[open_]
+        for more in combinations(range(n_langs), 2) if k == 2 else [(x,) for x in range(n_langs)]:
+            sets = np.zeros((len(open_), n_langs), bool) if k == 2 else held[open_]
+            fresh = ~sets[:, more].any(axis=1)
+            sets[:, more] = True
+            # Not more than if every unit were written in the likeliest language of the set.
+            bound = np.add.reduceat(np.where(sets[local], own, -np.inf).max(axis=1), begins) - k * cost[open_]
+            tried = np.flatnonzero(fresh & ((bound > np.maximum(best[open_], top)) | further & (bound > top)))
+            if not len(tried):
+                continue
+            share, value = _maximise(scaled, local, sets, tried, rounds)
+            value -= k * cost[open_[tried]]
+            better = value > top[tried]
+            top[tried[better]], chosen[tried[better]] = value[better], sets[tried[better]]
+            wins = value > best[open_[tried]]
+            at = open_[tried[wins]]
+            best[at], out[at] = value[wins], share[wins]
+        held[open_] = chosen
     return out
 
 
+def _maximise(scaled: np.ndarray, local: np.ndarray, sets: np.ndarray, tried: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation within each tried document's set: proportions and log-likelihoods."""
+    rows = np.flatnonzero(np.isin(local, tried))
+    own, local = scaled[rows], np.searchsorted(tried, local[rows])
+    begins = np.searchsorted(local, np.arange(len(tried)))
+    sizes = np.bincount(local, minlength=len(tried))[:, None]
+    share = sets[tried] / sets[tried].sum(axis=1, keepdims=True)
+    for _ in range(rounds):
+        part = share[local] * own
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+        share = np.add.reduceat(part, begins, axis=0) / sizes
+    return share, np.add.reduceat(np.log(np.maximum((share[local] * own).sum(axis=1), 1e-300)), begins)
+
+
 def predict(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], list[float], list[float]]:
     """Language, proportion and fit of each text; `und`, 0 and 0 for null ones, ones without letters, and if no language is known.
 
@@ -176,9 +202,11 @@ def predict(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tupl
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, lang_pred and score (0 to 1), learned from the labelled rows that aren't held out.
 
-    Null texts and those without a letter get `und` and score 0, as all do if
-    no row is labelled. Ties go to the language first in order. Repeated rows
-    and null ids are kept. Predictions read the text alone.
+    Null and empty texts and those without a letter get `und` and score 0, as
+    all do if no row is labelled; long texts are read whole, a chunk at a time.
+    Ties go to the language first in order. Repeated rows and null ids are
+    kept. An empty table gives an empty table. Predictions read the text alone;
+    other columns, whatever their names, aren't read.
     """
     model = learn(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
