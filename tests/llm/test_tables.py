@@ -58,7 +58,7 @@ def test_benchmark_against_brute_force(spark, words, block_bytes):
     rng = random.Random(4)
     few = words[:12]  # many windows share words
     items = [(i, " ".join(rng.choices(few if i % 2 else words, k=rng.choice([3, 9, 10, 11, 25])))) for i in range(40)]
-    items += [(40, None), (41, " .,"), (None, "a b c"), (3, "other TEXT-of the same id"), (43, "É日 ñ"), (44, items[0][1])]
+    items += [(40, None), (41, " .,"), (None, "a b c"), (None, " ".join(words[20:31])), (3, "other TEXT-of the same id"), (43, "É日 ñ"), (44, items[0][1])]
     docs = []
     for i in range(300):
         w = rng.choices(few if i % 3 == 0 else words, k=rng.randint(0, 60))
@@ -68,12 +68,12 @@ def test_benchmark_against_brute_force(spark, words, block_bytes):
             at = rng.randint(0, len(w))
             w[at:at] = part[: len(part) - cut]
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(w).title() if i % 2 else " ".join(w)))
-    docs += [(900, None), (901, ""), (902, "é日 ñ"), (902, "É日 ñ"), (None, docs[0][1])]
+    docs += [(903, " ".join(words[18:40])), (900, None), (901, ""), (902, "é日 ñ"), (902, "É日 ñ"), (None, docs[0][1])]
     windows = {}
     for i, t in items:
         w = words8(t)
-        for k in range(max(1, len(w) - 9)) if w and i is not None else ():
-            windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows.setdefault(tuple(w[k : k + 10]), set()).update({i} - {None})
     want = []
     for i, t in docs:
         w, hit, named = words8(t), set(), set()

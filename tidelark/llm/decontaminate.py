@@ -64,11 +64,13 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
     With `carry`, all columns of the documents stand before these in place of
     the id alone; those of the same names give way. Null and empty texts have
-    no words; items with a null id, or without words, take no part; an item id
+    no words, long ones are read whole. Items without words take no part;
+    windows of items without an id count as hits and name nothing; an item id
     with several texts has the windows of all of them. Repeated documents are
-    judged each.
+    judged each. With no documents the result is empty, with no items nothing
+    is hit. Other columns of the items aren't read.
     """
-    kept = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("item is not null and text is not null").distinct()
+    kept = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null").distinct()
     item_kind = dict(kept.dtypes)["item"]
     total = kept.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -86,7 +88,7 @@ def find_benchmark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         for w, ids in windows.items():
             at = min(range(len(w)), key=lambda i: (counts.get(w[i], 0), w[i], i))
             if counts.get(w[at]):  # else no document holds that word
-                index[w] = sorted(set(ids))
+                index[w] = sorted(set(ids) - {None})
                 prefixes.setdefault(w[at], set()).add((at, len(w)))
         found = _pass(found, docs.sparkSession.sparkContext.broadcast((index, {w: sorted(x) for w, x in prefixes.items()})), last=block + 1 == blocks)
     return found
@@ -112,7 +114,7 @@ def _pass(found: DataFrame, shared, last: bool) -> DataFrame:
                     for i, w in enumerate(words):
                         for at, length in prefixes.get(w, ()):
                             start = i - at
-                            if start >= 0 and start + length <= n and (got := index.get(tuple(words[start : start + length]))):
+                            if start >= 0 and start + length <= n and (got := index.get(tuple(words[start : start + length]))) is not None:
                                 hits += (start, start + length)
                                 named.update(got)
                 n_words.append(len(words))

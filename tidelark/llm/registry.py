@@ -83,7 +83,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 BENCHMARK_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, {WORDS_SQL} AS w FROM documents),
-i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
 wins AS (SELECT DISTINCT item_id, w[j:least(j + 9, len(w))] AS win FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS j FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
 spots AS (SELECT k, n, w, unnest(generate_series(1, len(w) - n + 1)) AS j FROM d, sizes WHERE len(w) >= n),
