@@ -149,6 +149,42 @@ def test_skip_chain_carries_labels_to_repeats():
     assert added("988.555.2485 and 988.555.2485") == []
 
 
+def test_a_label_reaches_any_distance():
+    filler = "word " * 20
+    text = "call +1 (988) 555-2485 " + "".join(f"{filler} or 988.555.2485 " for _ in range(80))
+    assert len(FIELD.added(text, pii.base_spans(text))) == 80
+
+
+def test_planted_links():
+    """Of tokens written otherwise far from what a pattern found, 95 % are added; of numbers and words that aren't like it, 1 % at most."""
+    rng = random.Random(21)
+    filler = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(rng.randint(5, 120)))
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    planted = found = alarms = others = 0
+    for _ in range(300):
+        area, mid, end = str(rng.randint(201, 989)), digits(3), digits(4)
+        user, host = "".join(rng.choices("abcdefgh", k=5)) + f".{rng.randint(10, 99)}", "mail8.example.com"
+        seen, hidden = rng.choice([
+            (f"+1 ({area}) {mid}-{end}", rng.choice([f"{area}.{mid}.{end}", f"{area}-{mid}-{end}", f"({area}) {mid}-{end}", f"{area} {mid} {end}"])),
+            (f"{user}@{host}", rng.choice([f"{user} (at) {host}", f"{user}[at]{host}", f"{user} (at) mail8 (dot) example (dot) com"])),
+        ])
+        unlike = [f"{digits(3)}.{digits(3)}.{digits(4)}", f"20{digits(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} 10:{digits(2)}", digits(16), f"v{digits(1)}.{digits(2)}", f"{digits(6)}"]
+        parts = [seen, hidden, *unlike]
+        rng.shuffle(parts)
+        text = " . ".join(f"{filler()} {p}" for p in parts)
+        got = {text[a:b] for _, a, b in FIELD.added(text, pii.base_spans(text))}
+        planted += 1
+        found += hidden in got
+        others += len(unlike)
+        alarms += len(got - {hidden})
+    assert found >= 0.95 * planted and alarms <= 0.01 * others, (found, planted, alarms, others)
+
+
+def test_fields_are_learned_where_ids_are_alike(spark):
+    docs = spark.createDataFrame([(None, "call +1 (988) 555-2485"), (None, "mail a.42@b.example.com")] * 30, "doc_id long, text string")
+    assert pii.learn(docs, sample_docs=2).unary.any()
+
+
 def test_marginals_are_exact_on_a_tree():
     """On a chain, message passing equals summing over all labelings."""
     import itertools
