@@ -264,5 +264,22 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert nearest.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)))], "vec_id long, embedding array<double>")
+    rows = lambda: sorted(map(tuple, nearest.nearest(df, df.where("vec_id % 10 = 0"), shard_rows=300).collect()))
+    whole = rows()
+    monkeypatch.setattr(nearest, "QUERY_BYTES", 8 * 8 * 25)
+    assert rows() == whole and len(whole) == 900
+
+
+def test_neither_queries_nor_graphs_are_shuffled(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "vec_id long, embedding array<double>")
+    plan = nearest.nearest(df, df.where("vec_id % 10 = 0"), shard_rows=100)._jdf.queryExecution().executedPlan().toString()
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan)
+    assert len(exchanges) == 2 and exchanges[0].startswith("query_id") and exchanges[1].startswith("dim") and "CoGroup" not in plan
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

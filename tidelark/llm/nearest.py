@@ -9,6 +9,10 @@ that has one. Entries lie far from each other, so that a dense group doesn't
 hold a search that begins in it. A query runs a beam search in every shard, whose finds are
 measured again in double precision on the original vectors and merged.
 
+A shard's graph is one row. Queries go to the graphs, in broadcast blocks of
+bounded bytes, so neither is shuffled; a task keeps each query's best over all
+its shards, and those alone are.
+
 Copies of a vector are one point of the graph that carries the smallest ids of
 all its rows, enough to fill any answer; every row is indexed that way.
 Searches advance a block of queries in lockstep, in whole-array operations.
@@ -29,8 +33,8 @@ from tidelark.session import ship
 SHARD_ROWS, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 32, 64, 128, 1.2
 #: Where searches begin; further edges a point may get from unreached ones.
 ENTRIES, SPARE = 32, 4
-#: Queries that are searched together in a shard.
-QUERY_BLOCK = 32_768
+#: Bytes of query vectors in a block, which the driver broadcasts; each block is a pass over the graphs.
+QUERY_BYTES = 32 << 20
 _EXPAND, _LOCKSTEP = 4, 256
 
 
@@ -209,58 +213,91 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     take no part, nor do rows without an id. A query's own id is no candidate;
     repeated rows count once. Vectors of another length than the query's are
     no candidates. Ties go to the smaller id. Queries get all candidates if
-    fewer than k. No other column is read.
+    fewer than k; without queries or vectors the result is empty. Other
+    columns, whatever their names, aren't read.
     """
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     take = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
     kind = dict(vectors.select(F.col(id_col).alias("id")).dtypes)["id"]
     smallest = Window.partitionBy("v").orderBy("id")
     # The limit by rank is applied before the shuffle too, so copies of one vector don't meet in one task.
     ranked = take(vectors).withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
     points = staged(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("members")).withColumn("dim", F.size("v")), "points")
-    wanted = staged(take(queries).withColumn("dim", F.size("v")), "queries")
+    wanted = staged(take(queries), "queries")
     shards = max(1, -(-points.count() // shard_rows))
-    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
+    blocks = max(1, -(-(wanted.agg(F.sum(F.size("v"))).first()[0] or 0) * 8 // QUERY_BYTES))
 
     def index(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(pc.list_element(table["members"], 0)))  # the same graph, whatever order rows arrive in
         edges, entries = build(_matrix(table["v"], np.float32))
         listed = pa.FixedSizeListArray.from_arrays(pa.array(edges.ravel()), edges.shape[1]).cast(pa.list_(pa.int64()))
-        return table.append_column("edges", listed).append_column("entry", pa.array(np.isin(np.arange(len(edges)), entries)))
+        whole = table.select(["v", "members"]).append_column("edges", listed).append_column("entry", pa.array(np.isin(np.arange(len(edges)), entries)))
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, whole.schema) as writer:
+            writer.write_table(whole)
+        return pa.table({"graph": pa.array([out.getvalue().to_pybytes()], pa.binary())})
 
     sharded = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    graphs = sharded.groupBy("dim", "shard").applyInArrow(index, f"v array<double>, members array<{kind}>, dim int, shard long, edges array<bigint>, entry boolean")
+    graphs = sharded.groupBy("dim", "shard").applyInArrow(index, "graph binary")
     if blocks > 1:  # else the search follows the build without writing the graphs
         graphs = staged(graphs, "graphs")
-    graphs = graphs.withColumn("at", F.monotonically_increasing_id()).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def search(shard: pa.Table, asked: pa.Table) -> pa.Table:
-        out = {"query_id": [], "id": [], "score": []}
-        if len(shard) and len(asked):
-            shard = shard.sort_by("at")
-            exact, wanted = _matrix(shard["v"]), _matrix(asked["v"])
-            points, edges = exact.astype(np.float32), _matrix(shard["edges"], np.int64)
-            norms, entries = np.einsum("ij,ij->i", points, points), np.flatnonzero(np.asarray(shard["entry"]))
-            members, names = shard["members"].to_pylist(), asked["id"].to_pylist()
-            for i in range(0, len(wanted), _LOCKSTEP):
-                block = wanted[i : i + _LOCKSTEP]
-                found, _, _ = beam_search(points, norms, edges, entries, block.astype(np.float32), max(beam, k + 1))
-                d = np.sqrt(((exact[np.maximum(found, 0)] - block[:, None]) ** 2).sum(axis=2))
-                d[found < 0] = np.inf
-                for name, row, far in zip(names[i : i + _LOCKSTEP], found, d):
-                    # The (k + 1)th distance bounds what can be in an answer; ties at it stay in.
-                    bound = np.partition(far, min(k, len(far) - 1))[min(k, len(far) - 1)]
-                    near = [j for j in np.flatnonzero(far <= bound) if np.isfinite(far[j])]
-                    rows = sorted((float(far[j]), m) for j in near for m in members[row[j]] if m != name)[:k]
-                    out["query_id"] += [name] * len(rows)
-                    out["id"] += [m for _, m in rows]
-                    out["score"] += [s for s, _ in rows]
-        types = asked.schema.field("id").type
-        return pa.table({"query_id": pa.array(out["query_id"], types), "id": pa.array(out["id"], types), "score": pa.array(out["score"], pa.float64())})
+    found = None
+    for block in range(blocks):
+        asked = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast(asked.toArrow())
+        part = _ranked(graphs.mapInArrow(_searching(shared, k, beam), f"query_id {kind}, id {kind}, score double"), k)
+        if blocks > 1:
+            part = staged(part, "found")
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
-    keys = ["dim", "shard", "block"]
-    found = graphs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, f"query_id {kind}, id {kind}, score double")
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _searching(shared, k: int, beam: int):
+    """Searches each graph of a task for a block of queries, and hands on the nearest over all of them."""
+
+    def run(batches):
+        asked = shared.value
+        sizes = np.asarray(pc.list_value_length(asked["v"]))
+        types = asked.schema.field("id").type
+        best: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for graph in batch.column(0):
+                shard = pa.ipc.open_stream(graph.as_buffer()).read_all()
+                exact = _matrix(shard["v"])
+                places = np.flatnonzero(sizes == exact.shape[1])
+                if not len(places):
+                    continue
+                own = asked.take(pa.array(places))
+                wanted, names = _matrix(own["v"]), own["id"].to_pylist()
+                points, edges = exact.astype(np.float32), _matrix(shard["edges"], np.int64)
+                norms, entries = np.einsum("ij,ij->i", points, points), np.flatnonzero(np.asarray(shard["entry"]))
+                members = shard["members"].to_pylist()
+                for i in range(0, len(wanted), _LOCKSTEP):
+                    block = wanted[i : i + _LOCKSTEP]
+                    near, _, _ = beam_search(points, norms, edges, entries, block.astype(np.float32), max(beam, k + 1))
+                    d = np.sqrt(((exact[np.maximum(near, 0)] - block[:, None]) ** 2).sum(axis=2))
+                    d[near < 0] = np.inf
+                    for at, name, row, far in zip(places[i : i + _LOCKSTEP].tolist(), names[i : i + _LOCKSTEP], near, d):
+                        had = best.get(at, [])
+                        # The (k + 1)th distance bounds what can be in an answer, as does the kth of an earlier shard; ties at it stay in.
+                        bound = np.partition(far, min(k, len(far) - 1))[min(k, len(far) - 1)]
+                        bound = min(bound, had[-1][0]) if len(had) == k else bound
+                        close = [j for j in np.flatnonzero(far <= bound) if np.isfinite(far[j])]
+                        rows = [(float(far[j]), m) for j in close for m in members[row[j]] if m != name]
+                        if rows:
+                            best[at] = sorted(had + rows)[:k]
+        names = asked["id"].to_pylist()
+        order = sorted(best)
+        for i in range(0, len(order), 1024):
+            rows = [(names[at], m, s) for at in order[i : i + 1024] for s, m in best[at]]
+            q, ids, scores = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(q, types), pa.array(ids, types), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
+
+    return run
