@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelark.functions import arrays as A
-from tidelark.operators.grids import each
-from tidelark.operators.stats import quantiles
+from tidelark.operators.grids import bin_found, each
+from tidelark.operators.stats import finite, quantiles
 from tidelark.operators.windows import whole, windowed
 
 def gate_features(df: DataFrame, key: str, idx: str, value: str, size: int, stride: int, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -98,10 +99,88 @@ def best(evaluated: DataFrame) -> DataFrame:
 def grid(df: DataFrame, dc_points: int = 5, ratio_points: int = 5) -> list[tuple[float, float]]:
     """Candidate pairs: quantiles of the windows' features, distinct."""
     shares = lambda n: [(i + 1) / (n + 1) for i in range(n)]
-    d, r = quantiles(df, ["dc"], shares(dc_points))["dc"], quantiles(df, ["ac_dc_ratio"], shares(ratio_points))["ac_dc_ratio"]
+    found = quantiles(df, ["dc", "ac_dc_ratio"], list(dict.fromkeys(shares(dc_points) + shares(ratio_points))))
+    at = {q: i for i, q in enumerate(dict.fromkeys(shares(dc_points) + shares(ratio_points)))}
+    d, r = [found["dc"][at[q]] for q in shares(dc_points)], [found["ac_dc_ratio"][at[q]] for q in shares(ratio_points)]
     return [(x, y) for x in dict.fromkeys(d) for y in dict.fromkeys(r) if x is not None and y is not None]
 
 
+def axes(df: DataFrame, n: int) -> tuple[list[float], list[float]]:
+    """Rising levels and ratios to try: n quantiles and n even steps of each, a little beyond the values seen, and ratios that are always tried."""
+    found = quantiles(df, ["dc", "ac_dc_ratio"], np.linspace(0, 1, n).tolist())
+    d, r = ([x for x in found[c] if x is not None] for c in ("dc", "ac_dc_ratio"))
+    if not d or not r:
+        return [], []
+    wide, wide_r = max(d[-1] - d[0], 1.0), max(r[-1] - r[0], 1e-6)
+    levels = np.concatenate([d, np.linspace(d[0] - 0.1 * wide, d[-1], n)])
+    ratios = np.concatenate([r, np.linspace(max(0.0, r[0] - 0.05 * wide_r), r[-1] + 0.2 * wide_r, n), np.linspace(0.01, 1.5, max(n - 100, 100))])
+    return np.unique(levels).tolist(), np.unique(ratios).tolist()
+
+
+def tabulated(df: DataFrame, levels: Sequence[float], ratios: Sequence[float], key: str = "sample") -> dict[str, np.ndarray]:
+    """The rates of `evaluate` for every level with every ratio, as tables (levels x ratios), both rising.
+
+    Windows are counted by the levels and ratios that let them pass, samples by
+    the first ratio that lets a window pass at each level: two aggregations,
+    however many pairs there are, and what reaches the driver is as large as
+    the tables. Values that aren't finite never pass.
+    """
+    over = bin_found(finite("dc"), np.nextafter(np.array(levels, float), np.inf).tolist())
+    first = bin_found(finite("ac_dc_ratio"), list(ratios))
+    shape = (len(levels) + 1, len(ratios) + 1)
+    rows = df.select(key, "target", F.coalesce(over, F.lit(0)).alias("i"), F.coalesce(first, F.lit(len(ratios))).alias("j"))
+    windows = {t: np.zeros(shape) for t in (0, 1)}
+    for x in rows.where("target in (0, 1)").groupBy("target", "i", "j").count().collect():
+        windows[x["target"]][x["i"], x["j"]] += x["count"]
+    down = Window.partitionBy(key, "target").orderBy(F.col("i").desc())
+    least = rows.groupBy(key, "target", "i").agg(F.min("j").alias("j"))
+    runs = least.select("target", "i", F.min("j").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("j"), F.lead("i", 1, 0).over(down).alias("low"), (F.row_number().over(down) == 1).alias("top"))
+    counted = runs.where("target in (0, 1)").groupBy("target", "i", "low", "j").agg(F.count("*").alias("n"), F.count_if("top").alias("samples")).collect()
+    samples, total = {t: np.zeros(shape) for t in (0, 1)}, {0: 0, 1: 0}
+    for x in counted:
+        samples[x["target"]][x["low"] : x["i"], x["j"]] += x["n"]
+        total[x["target"]] += x["samples"]
+
+    def rate(passed: np.ndarray, all_: float) -> np.ndarray:
+        return passed / all_ if all_ else np.zeros_like(passed)
+
+    out = {}
+    for t in (1, 0):
+        over_level = windows[t][::-1].cumsum(axis=0)[::-1][1:].cumsum(axis=1)[:, :-1]
+        out[f"window_target{t}_pass_rate"] = rate(over_level, windows[t].sum())
+        out[f"sample_target{t}_pass_rate"] = rate(samples[t][:-1].cumsum(axis=1)[:, :-1], total[t])
+    return out
+
+
+def best_pair(levels: Sequence[float], ratios: Sequence[float], rates: dict[str, np.ndarray], least: float = 1.0) -> dict[str, float] | None:
+    """The pair that `best` takes among those that let so large a share of samples of target 1 pass; None without any."""
+    ok = np.argwhere(rates["sample_target1_pass_rate"] + 1e-12 >= least)
+    if not len(ok):
+        return None
+    at = lambda name: rates[name][ok[:, 0], ok[:, 1]]
+    order = np.lexsort((-ok[:, 1], ok[:, 0], at("window_target0_pass_rate").round(12), at("sample_target0_pass_rate").round(12), -at("sample_target1_pass_rate")))
+    i, k = ok[order[0]]
+    return {"dc_threshold": float(levels[i]), "ac_dc_threshold": float(ratios[k])} | {c: float(rates[c][i, k]) for c in RATES}
+
+
+def searched(df: DataFrame, least: float = 1.0, coarse: int = 50, fine: int = 30, key: str = "sample") -> list[dict]:
+    """The best pair of a coarse grid, and of a fine one a fifth around it; the last is the one to take. Empty if no pair lets enough samples pass.
+
+    `df` (columns key, target, dc, ac_dc_ratio) is read several times: a staged table serves best.
+    """
+    found = None
+    for n in (coarse, min(coarse, 30)):
+        levels, ratios = axes(df, n)
+        if levels and (found := best_pair(levels, ratios, tabulated(df, levels, ratios, key), least)):
+            break
+    if not found:
+        return []
+    near = [np.unique(np.linspace(found[c] * 0.8, found[c] * 1.2, fine)).tolist() for c in ("dc_threshold", "ac_dc_threshold")]
+    close = best_pair(*near, tabulated(df, *near, key), least)
+    rank = lambda x: (-x["sample_target1_pass_rate"], round(x["sample_target0_pass_rate"], 12), round(x["window_target0_pass_rate"], 12), x["dc_threshold"], -x["ac_dc_threshold"])
+    return [found | {"stage": "coarse"}] + ([close | {"stage": "fine"}] if close and rank(close) < rank(found) else [])
+
+
 def train_thresholds(dc: float, ratio: float) -> tuple[float, float]:
     """The relaxed gate used while training."""
     return dc * 0.9, ratio + 0.1

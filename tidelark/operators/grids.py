@@ -48,6 +48,11 @@ def bin_number(c: Column, bounds: Sequence[float]) -> Column:
     return F.when(c.isNotNull(), within(0, len(bounds)))
 
 
+def bin_found(c: Column, bounds: Sequence[float]) -> Column:
+    """The same by a search in one literal: for bounds so many that their comparisons would be too much code."""
+    return F.when(c.isNotNull(), F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= c)))
+
+
 def postprocess_grid(offsets: Sequence[float] = (0.0,)) -> list[dict]:
     """The full sweep of postprocessing; fixed values."""
     grid = product_of(

@@ -74,8 +74,8 @@ def best_threshold(sweep: DataFrame, objective: str = "f1", beta: float = 0.5, m
     return scored.orderBy(F.col("score").desc(), "rank").limit(1)
 
 
-#: Ranges that ranks are summed in.
-RANGES = 16
+#: Rows of a feature in a range that ranks are summed in, about, and ranges at least.
+RANGE_ROWS, RANGES = 250_000, 16
 
 
 def ranked_auc(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -88,17 +88,18 @@ def ranked_auc(df: DataFrame, features: Sequence[str], target: str) -> DataFrame
     """
     # Values are a projection of their own, so that each comparison reads a column, not the expression behind it.
     rows = df.select(F.col(target).alias("_y"), *[finite(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(features)])
-    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    row = rows.agg(*[F.percentile_approx(f"x{i}", shares, F.lit(1000)).alias(f"b{i}") for i in range(len(features))]).first()
+    ranges = max(RANGES, -(-rows.count() // RANGE_ROWS))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    row = rows.agg(*[F.percentile_approx(f"x{i}", shares, F.lit(max(1000, 4 * ranges))).alias(f"b{i}") for i in range(len(features))]).first()
     bounds = [sorted(set(row[f"b{i}"] or [])) for i in range(len(features))]
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), bin_number(F.col(f"x{i}"), bounds[i]).alias("range"), F.col(f"x{i}").alias("x")) for i, c in enumerate(features)])
     long = rows.select("_y", F.explode(cells).alias("c")).select("c.*", "_y").where("x is not null")
     counted = long.groupBy("feature", "range", "x").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count_if(F.col("_y") == 0).alias("n"))
     before = Window.partitionBy("feature", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     inner = counted.withColumn("under", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ranges = inner.groupBy("feature", "range").agg(F.sum(F.col("p").cast("double") * (F.col("under") + F.col("n") * F.lit(0.5))).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    summed = inner.groupBy("feature", "range").agg(F.sum(F.col("p").cast("double") * (F.col("under") + F.col("n") * F.lit(0.5))).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     below = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    wins = ranges.withColumn("u", F.col("u") + F.col("p").cast("double") * F.coalesce(F.sum("n").over(below), F.lit(0)))
+    wins = summed.withColumn("u", F.col("u") + F.col("p").cast("double") * F.coalesce(F.sum("n").over(below), F.lit(0)))
     sums = wins.groupBy("feature").agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     auc = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p").cast("double") * F.col("n")))
     return sums.select("feature", auc.alias("auc"), F.greatest(auc, 1 - auc).alias("separation"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -9,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelark.operators.grids import bin_found, bin_number
+
 
 def finite(c: str | Column) -> Column:
     """Null in place of NaN and infinities."""
@@ -34,6 +37,8 @@ def missing_rates(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 #: Half the width, in ranks' share, of the bracket around a quantile; distinct values in a bracket that the driver takes.
 BRACKET, TAKEN = 1 / 2000, 50_000
+#: Ends of brackets that are compared in compiled code; more are searched.
+CODED = 48
 
 
 def quantiles(df: DataFrame, features: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
@@ -58,35 +63,49 @@ def quantiles(df: DataFrame, features: Sequence[str], shares: Sequence[float]) -
             low, high = first[f"b{i}"][2 * j : 2 * j + 2]
             open_.append({"c": c, "j": j, "at": at, "r": (int(at), min(int(at) + 1, n - 1)), "low": low, "high": high})
     while open_:
-        inside = [(x[k["c"]] >= k["low"]) & (x[k["c"]] <= k["high"]) for k in open_]
-        row = df.agg(
-            *[F.count_if(x[k["c"]] < k["low"]).alias(f"u{i}") for i, k in enumerate(open_)], *[F.count_if(w).alias(f"m{i}") for i, w in enumerate(inside)],
-            *[F.approx_count_distinct(F.when(w, x[k["c"]])).alias(f"d{i}") for i, (k, w) in enumerate(zip(open_, inside))],
-        ).first()
-        ready, narrow = [], []
-        for i, k in enumerate(open_):
-            k["under"], k["size"] = row[f"u{i}"], row[f"m{i}"]
+        # Each value goes to the bin of its column between two neighbouring ends of brackets.
+        edges: dict[str, list[float]] = {}
+        for k in open_:
+            edges.setdefault(k["c"], []).extend((k["low"], float(np.nextafter(k["high"], np.inf))))
+        edges = {c: sorted(set(e)) for c, e in edges.items()}
+        binned = bin_number if sum(map(len, edges.values())) <= CODED else bin_found
+        cells = F.array(*[F.struct(F.lit(i).alias("f"), binned(x[c], e).alias("b"), x[c].alias("x")) for i, (c, e) in enumerate(edges.items())])
+        long = df.select(F.explode(cells).alias("h")).select("h.*").where("b is not null")
+        places = {c: i for i, c in enumerate(edges)}
+        sizes = {c: np.zeros(len(e) + 1, int) for c, e in edges.items()}
+        distinct = {c: np.zeros(len(e) + 1, int) for c, e in edges.items()}
+        names = list(edges)
+        for r in long.groupBy("f", "b").agg(F.count("*").alias("n"), F.approx_count_distinct("x").alias("d")).collect():
+            sizes[names[r["f"]]][r["b"]], distinct[names[r["f"]]][r["b"]] = r["n"], r["d"]
+        ready, narrow, wanted = [], [], set()
+        for k in open_:
+            low, high = (bisect_left(edges[k["c"]], e) + 1 for e in (k["low"], float(np.nextafter(k["high"], np.inf))))
+            k["under"], k["size"] = int(sizes[k["c"]][:low].sum()), int(sizes[k["c"]][low:high].sum())
             if k["under"] > k["r"][0]:
                 k["low"] = -float("inf")  # the sketch was off
                 narrow.append(k)
             elif k["r"][1] >= k["under"] + k["size"]:
                 k["high"] = float("inf")
                 narrow.append(k)
+            elif distinct[k["c"]][low:high].sum() <= TAKEN:
+                ready.append(k)
+                wanted |= {(places[k["c"]], b) for b in range(low, high)}
             else:
-                (ready if row[f"d{i}"] <= TAKEN else narrow).append(k)
+                narrow.append(k)
         if ready:
-            hit = F.array(*[F.when((x[k["c"]] >= k["low"]) & (x[k["c"]] <= k["high"]), F.struct(F.lit(i).alias("b"), x[k["c"]].alias("x"))) for i, k in enumerate(ready)])
-            counts = df.select(F.explode(F.filter(hit, lambda h: h.isNotNull())).alias("h")).groupBy("h.b", "h.x").count().collect()
-            by: dict[int, list[tuple[float, int]]] = {}
-            for r in counts:
-                by.setdefault(r["b"], []).append((r["x"], r["count"]))
-            for i, k in enumerate(ready):
-                values, seen, found = sorted(by[i]), k["under"], []
-                for v, m in values:
-                    while len(found) < 2 and k["r"][len(found)] < seen + m:
-                        found.append(v)
-                    seen += m
-                out[k["c"]][k["j"]] = found[0] + (found[1] - found[0]) * (k["at"] - k["r"][0])
+            is_wanted = F.array_contains(F.array(*[F.lit((f << 32) + b) for f, b in sorted(wanted)]), F.shiftleft(F.col("f").cast("long"), 32) + F.col("b"))
+            by: dict[str, list[tuple[float, int]]] = {}
+            for r in long.where(is_wanted).groupBy("f", "x").count().collect():
+                by.setdefault(names[r["f"]], []).append((r["x"], r["count"]))
+            for c, values in by.items():
+                values.sort()
+                at = [v for v, _ in values]
+                seen = np.concatenate([[0], np.cumsum([m for _, m in values])])
+                for k in (k for k in ready if k["c"] == c):
+                    first_, last_ = bisect_left(at, k["low"]), bisect_right(at, k["high"])
+                    ranks = seen[first_ : last_ + 1] - seen[first_] + k["under"]
+                    low, high = (at[first_ + int(np.searchsorted(ranks, r, "right")) - 1] for r in k["r"])
+                    out[c][k["j"]] = low + (high - low) * (k["at"] - k["r"][0])
         sketched = [k for k in narrow if np.isfinite(k["low"]) and np.isfinite(k["high"])]
         if sketched:
             parts = []

@@ -9,6 +9,7 @@ from tidelark.operators import folds, metrics, ranking, sampling, stats, trees
 from tidelark.plans.registry import query
 from tidelark.plans.roles import FEATURES, LINES, LONG, WINDOWS, lines, table, window_features
 from tidelark.plans.signals import r6
+from tidelark.session import staged
 
 NAMES = ", ".join(FEATURES)
 WITH_NULLS = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x FROM lines" for c in FEATURES)
@@ -263,7 +264,7 @@ def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {WINDOWS}, cut AS (SELECT quantile_cont(prob, 0.9) AS cut FROM win WHERE target = 0), h AS (SELECT sample, win, prob, target = 0 AND prob >= 0.35 AS a, target = 0 AND prob >= cut AS b FROM win, cut)
 SELECT sample, win AS "window", CASE WHEN a OR b THEN 3.0 ELSE 1.0 END AS weight, CASE WHEN a AND b THEN 'probability_and_top_percentile' WHEN a THEN 'probability' WHEN b THEN 'top_percentile' END AS reason FROM h""")
 def hard_negative_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.hard_negatives(window_features(spark, sf_dir), "prob", "target", 0.35, 0.1).select("sample", "window", "weight", "reason")
+    return folds.hard_negatives(staged(window_features(spark, sf_dir), "windows"), "prob", "target", 0.35, 0.1).select("sample", "window", "weight", "reason")
 
 
 @query("SELECT l_suppkey AS sample, avg(l_quantity) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice, count(*) AS n FROM lineitem GROUP BY l_suppkey".replace("avg(l_quantity)", "round(avg(l_quantity), 6)"))
@@ -279,17 +280,21 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRAWN = "row_number() OVER (PARTITION BY target ORDER BY substr(sha256('42::' || sample || '::' || win), 1, 13))"
 
 
-@query(f"""WITH {WINDOWS}, s AS (SELECT * FROM win WHERE target = 1 OR sample % 3 = 0), n AS (SELECT count(*) FILTER (target = 0) AS k FROM s), r AS (SELECT sample, win, target, {DRAWN} AS n FROM s)
-SELECT sample, win AS "window", target FROM r WHERE target = 0 OR n <= (SELECT k FROM n)""")
+#: A naturally unbalanced target: of a window's level against its gate.
+LEVEL = "CASE WHEN dc > 3.0 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {WINDOWS}, s AS (SELECT sample, win, {LEVEL} AS target FROM win), n AS (SELECT count(*) FILTER (target = 0) AS k, count(*) FILTER (target = 1) AS p FROM s), r AS (SELECT sample, win, target, {DRAWN} AS n FROM s)
+SELECT sample, win AS "window", target FROM r, n WHERE target = 0 OR k = 0 OR r.n <= k""")
 def balanced_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = window_features(spark, sf_dir).where("target = 1 or sample % 3 = 0")
+    w = staged(window_features(spark, sf_dir).select("sample", "window", (F.col("dc") > 3.0).cast("int").alias("target")), "windows")
     return sampling.balanced(w, "target", ["sample", "window"]).select("sample", "window", "target")
 
 
 @query(f"WITH {WINDOWS}, r AS (SELECT sample, win, row_number() OVER (ORDER BY substr(sha256('42::' || sample || '::' || win), 1, 13)) AS n FROM win) SELECT sample, win AS \"window\" FROM r WHERE n <= 100")
 def point_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of a hundred points, as a plot takes it."""
-    return sampling.first(window_features(spark, sf_dir), ["sample", "window"], 100).select("sample", "window")
+    return sampling.first(staged(window_features(spark, sf_dir), "windows"), ["sample", "window"], 100).select("sample", "window")
 
 
 @query(f"WITH {LINES} SELECT 'l_quantity' AS feature, target, q AS share, round(quantile_cont(l_quantity, q), 6) AS value FROM lines, (SELECT unnest([0.05, 0.5, 0.95]) AS q) GROUP BY target, q".replace("quantile_cont(l_quantity, q)", "CASE q WHEN 0.05 THEN quantile_cont(l_quantity, 0.05) WHEN 0.5 THEN quantile_cont(l_quantity, 0.5) ELSE quantile_cont(l_quantity, 0.95) END").replace("q AS share", "q::DOUBLE AS share"))

@@ -9,6 +9,7 @@ from tidelark.functions import arrays as A
 from tidelark.operators import gates, split, windows
 from tidelark.plans.registry import query
 from tidelark.plans.roles import DC, EMB, RATIO, SIG, SIZE, STRIDE, WINDOWS, WROWS, embedded, signal, table, window_features
+from tidelark.session import staged
 
 
 def r6(c) -> object:
@@ -151,14 +152,47 @@ def gate_threshold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_eval_sql(QUANTS)} SELECT round(dc_threshold, 6) AS dc_threshold, round(ac_dc_threshold, 6) AS ac_dc_threshold, {EV_SQL}, num_windows, num_samples FROM ev")
 def gate_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = window_features(spark, sf_dir)
+    w = _windows(spark, sf_dir)
     return _rounded(gates.evaluate(w, gates.grid(w, 3, 3)))
 
 
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written once, since a search reads them again and again."""
+    return staged(window_features(spark, sf_dir).select("sample", "target", "dc", "ac_dc_ratio"), "windows")
+
+
+def _best_sql(name: str, levels: str, ratios: str) -> str:
+    """CTEs for the best of the pairs of two lists that lets every sample of target 1 pass."""
+    return f"""{name}_pairs AS (SELECT d, r FROM (SELECT DISTINCT unnest({levels}) AS d), (SELECT DISTINCT unnest({ratios}) AS r)),
+{name}_s AS (SELECT d, r, sample, target, count(*) AS n, count(*) FILTER (dc > d AND ac_dc_ratio < r) AS ok FROM win, {name}_pairs GROUP BY d, r, sample, target),
+{name}_ev AS (SELECT d, r, sum(ok) FILTER (target = 1) / sum(n) FILTER (target = 1) AS w1, sum(ok) FILTER (target = 0) / sum(n) FILTER (target = 0) AS w0, count(*) FILTER (target = 1 AND ok > 0) / count(*) FILTER (target = 1) AS s1, count(*) FILTER (target = 0 AND ok > 0) / count(*) FILTER (target = 0) AS s0 FROM {name}_s GROUP BY d, r),
+{name} AS (SELECT * FROM {name}_ev WHERE s1 + 1e-12 >= 1 ORDER BY s1 DESC, round(s0, 12), round(w0, 12), d, r DESC LIMIT 1)"""
+
+
+COARSE, FINE = 50, 30
+GRID_SHARES = f"[x / {COARSE - 1} FOR x IN range({COARSE})]"
+SEARCH_SQL = f"""WITH {WINDOWS}, e AS (SELECT min(dc) AS a, max(dc) AS b, greatest(max(dc) - min(dc), 1.0) AS w, min(ac_dc_ratio) AS ra, max(ac_dc_ratio) AS rb, greatest(max(ac_dc_ratio) - min(ac_dc_ratio), 1e-6) AS rw FROM win),
+g AS (SELECT list_concat((SELECT quantile_cont(dc, {GRID_SHARES}) FROM win), [a - 0.1 * w + x * ((b - (a - 0.1 * w)) / {COARSE - 1}) FOR x IN range({COARSE})]) AS levels,
+  list_concat((SELECT quantile_cont(ac_dc_ratio, {GRID_SHARES}) FROM win), [greatest(0.0, ra - 0.05 * rw) + x * ((rb + 0.2 * rw - greatest(0.0, ra - 0.05 * rw)) / {COARSE - 1}) FOR x IN range({COARSE})], [0.01 + x * (1.49 / 99) FOR x IN range(100)]) AS ratios FROM e),
+{_best_sql("coarse", "(SELECT levels FROM g)", "(SELECT ratios FROM g)")},
+{_best_sql("fine", f"(SELECT [d * 0.8 + x * ((d * 1.2 - d * 0.8) / {FINE - 1}) FOR x IN range({FINE})] FROM coarse)", f"(SELECT [r * 0.8 + x * ((r * 1.2 - r * 0.8) / {FINE - 1}) FOR x IN range({FINE})] FROM coarse)")},
+two AS (SELECT 'coarse' AS stage, * FROM coarse UNION ALL SELECT 'fine', f.* FROM fine f, coarse c WHERE (-f.s1, round(f.s0, 12), round(f.w0, 12), f.d, -f.r) < (-c.s1, round(c.s0, 12), round(c.w0, 12), c.d, -c.r))
+SELECT stage, round(d, 6) AS dc_threshold, round(r, 6) AS ac_dc_threshold, round(w1, 6) AS window_target1_pass_rate, round(w0, 6) AS window_target0_pass_rate, round(s1, 6) AS sample_target1_pass_rate, round(s0, 6) AS sample_target0_pass_rate FROM two"""
+
+
+@query(SEARCH_SQL)
+def gate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse grid of quantiles and even steps, then a fine one around its best."""
+    found = gates.searched(_windows(spark, sf_dir), 1.0, COARSE, FINE)
+    names = ["dc_threshold", "ac_dc_threshold", *gates.RATES]
+    rows = spark.createDataFrame([(x["stage"], *(x[c] for c in names)) for x in found], "stage string, " + ", ".join(f"{c} double" for c in names))
+    return rows.select("stage", *[r6(c).alias(c) for c in names])
+
+
 @query(f"""WITH {_eval_sql(QUANTS)} SELECT round(dc_threshold, 6) AS dc_threshold, round(ac_dc_threshold, 6) AS ac_dc_threshold, {EV_SQL}, num_windows, num_samples FROM ev
 ORDER BY ev.sample_target1_pass_rate DESC, ev.sample_target0_pass_rate, ev.window_target0_pass_rate, ev.dc_threshold, ev.ac_dc_threshold DESC LIMIT 1""")
 def gate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = window_features(spark, sf_dir)
+    w = _windows(spark, sf_dir)
     return _rounded(gates.best(gates.evaluate(w, gates.grid(w, 3, 3))))
 
 
