@@ -140,7 +140,7 @@ def test_sweep_counts(spark):
 
 
 def test_whole_run(learnable):
-    run = pipeline.Run(learnable, ["strong", "noise", "weak"], pipeline.Settings(model_budget=1, sweep_budget=3, boosting=Boosting(rounds=2, depth=2, bins=8), valid=0.25, test=0.2, n_folds=2, axes={"rounds": [1, 3], "depth": [1]}), groups={"strong": "emg_contact", "noise": "emg_activity", "weak": "emg_frequency"})
+    run = pipeline.Run(learnable, ["strong", "noise", "weak"], pipeline.Settings(model_budget=1, sweep_budget=3, boosting=Boosting(rounds=2, depth=2, bins=8), valid=0.25, test=0.2, n_folds=2, axes={"rounds": [1, 3], "depth": [1]}, least={"emg_activity": 1}, feature_counts=[1], class_weight="balanced"), groups={"strong": "emg_contact", "noise": "emg_activity", "weak": "emg_frequency"})
     assert pipeline.execute(run, dry_run=True, stop_after="train") == ["split", "gate", "select", "train"]
     with pytest.raises(ValueError):
         pipeline.execute(run, skip=["nothing"])
@@ -150,6 +150,20 @@ def test_whole_run(learnable):
     got = {r.split: r.accuracy for r in run.reports["samples"].collect()}
     assert set(got) == {"train", "valid", "test"} and got["train"] > 0.5
     assert run.reports["errors"].count() and run.reports["ood"].count() == 40
+    # Each switch shows in its result.
+    windows = lambda: sum(x.tn + x.fp + x.fn + x.tp for x in run.reports["windows"].collect())
+    assert windows() == 480 - 40 * 3
+    run.settings.warmup = 0
+    pipeline.evaluate_step(run)
+    assert windows() == 480
+    assert "combined_score" in run.reports["ranked"].columns and set(run.state["agreement"]) == {"rho", "overlap", "n_suspicious"}
+    assert "noise" in run.state["features"] and len(bundle.features) == 1 < len(run.state["features"])
+    assert bundle.quality and run.state["scored"].where("quality < 1").count() > 0
+    gate = run.state["gate"]
+    run.settings.search_gate = True
+    pipeline.gate_step(run)
+    assert run.state["gate"] != gate
+    assert selection.class_weight(learnable.where("target = 1 or window < 3")) == pytest.approx(0.25)
     with pytest.raises(ValueError):
         Bundle.from_json("{}")
 
@@ -195,6 +209,57 @@ def test_nothing_is_tuned_on_test_rows(spark):
         postprocess.refused(df)
 
 
+def test_leaves_under_an_l1_penalty(spark):
+    """By hand: five rows a side, each with gradient 0.5 and hessian 0.25; 2.5 less 0.5 over 1.25 and a ridge of 0.75."""
+    df = spark.createDataFrame([(float(i), int(i >= 5)) for i in range(10)], "x double, y int")
+    model = trees.fit(df, ["x"], "y", Boosting(rounds=1, depth=1, rate=1.0, ridge=0.75, min_child_weight=0.0, alpha=0.5))
+    assert [n.value for n in model.trees[0].nodes[1:]] == pytest.approx([-1.0, 1.0]) and model.trees[0].nodes[0].gain == pytest.approx((4 / 2 + 4 / 2) / 2)
+    flat = trees.fit(df, ["x"], "y", Boosting(rounds=1, depth=1, rate=1.0, ridge=0.0, min_child_weight=0.0, alpha=3.0))
+    assert len(flat.trees[0].nodes) == 1 and flat.trees[0].nodes[0].value == 0
+
+
+def test_rows_and_columns_of_a_tree_are_drawn_repeatably(learnable):
+    p = Boosting(rounds=4, depth=1, bins=8, subsample=0.5, columns=0.5)
+    names = ["strong", "noise", "weak", "dc"]
+    models = [trees.fit(df, names, "target", p) for df in (learnable, learnable.repartition(7))]
+    shape = lambda m: [[(n.feature, n.threshold) if isinstance(n, Split) else (round(n.value, 9), round(n.cover, 6)) for n in t.nodes] for t in m.trees]
+    assert shape(models[0]) == shape(models[1])
+    covers = [sum(n.cover for n in t.nodes if isinstance(n, Leaf)) for t in models[0].trees]
+    assert all(0.35 * 480 * 0.25 < c < 0.65 * 480 * 0.25 for c in covers) and len(set(covers)) > 1
+    first = {t.nodes[0].feature for t in models[0].trees if isinstance(t.nodes[0], Split)}
+    assert first - {"strong"}  # where that column wasn't drawn
+
+
+def test_search_space_is_the_whole_product():
+    assert np.prod([len(v) for v in pipeline.AXES.values()]) == 1_389_150
+
+
+def test_tabulated_rates_are_those_of_each_pair(spark):
+    from tidelark.operators import gates
+
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i % 17}", i % 17 % 2, float(rng.integers(0, 9)), float(rng.integers(0, 9)) / 8) for i in range(400)] + [("s0", 0, None, 0.1), ("s1", 1, float("nan"), 0.1), ("s2", 0, 100.0, float("inf"))]
+    df = spark.createDataFrame(rows, "sample string, target int, dc double, ac_dc_ratio double")
+    levels, ratios = [-1.0, 0.0, 2.5, 3.0, 8.0, 9.0], [0.0, 0.125, 0.5, 0.51, 2.0]
+    got = gates.tabulated(df, levels, ratios)
+    for d, dc in enumerate(levels):
+        for k, r in enumerate(ratios):
+            passed = [(s, t) for s, t, x, y in rows if x is not None and np.isfinite(x) and np.isfinite(y) and x > dc and y < r]
+            for t in (0, 1):
+                windows, samples = [x for x in rows if x[1] == t], {x[0] for x in rows if x[1] == t}
+                assert got[f"window_target{t}_pass_rate"][d, k] == pytest.approx(sum(x[1] == t for x in passed) / len(windows))
+                assert got[f"sample_target{t}_pass_rate"][d, k] == pytest.approx(len({x[0] for x in passed if x[1] == t}) / len(samples))
+    found = gates.searched(df.where("dc is not null and not isnan(dc)"), 0.5, 12, 8)
+    assert found and found[-1]["sample_target1_pass_rate"] >= 0.5 and gates.searched(df.where("false")) == []
+
+
+def test_searches_fall_back_to_other_folds(spark):
+    df = spark.createDataFrame([(f"g{i % 2}", i, i % 2, float(i % 2) + i / 100) for i in range(60)], "g string, i int, target int, x double")
+    record = selection.cross_validated(df, ["x"], "g", [Boosting(rounds=1, depth=1, bins=4)], n_folds=2, keys=["g", "i"])
+    assert record.iloc[0]["folds"] == "stratified_fallback" and record.iloc[0]["n_splits"] == 2
+    assert selection.cross_validated(df, ["x"], "g", [Boosting(rounds=1, depth=1, bins=4)], n_folds=2).iloc[0]["n_splits"] == 0
+
+
 def test_grids_and_scales():
     from tidelark.functions import features
     from tidelark.operators import grids

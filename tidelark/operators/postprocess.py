@@ -156,7 +156,7 @@ def sample_metrics(samples: DataFrame, decisions: DataFrame, key: str, by: Seque
     return evaluated(joined, F.col("_pred"), F.col("target"), by)
 
 
-def swept(df: DataFrame, key: str, order: Sequence[str], raw: str, flag: Column, threshold: float, grid: Sequence[dict], fp_cost: float = 1.5) -> DataFrame:
+def swept(df: DataFrame, key: str, order: Sequence[str], raw: str, flag: Column, threshold: float, grid: Sequence[dict], fp_cost: float = 1.5, quality: str | None = None) -> DataFrame:
     """Metrics and score of each parameter set over samples (column target): accuracy, recall, final windows and false positives.
 
     Series are made once for each pair of offset and median width, folded once for each set, and summed up.
@@ -168,7 +168,7 @@ def swept(df: DataFrame, key: str, order: Sequence[str], raw: str, flag: Column,
         own = [p for p in grid if (p["threshold_offset"], p["median_k"]) == (offset, k)]
         shifted = df.withColumn("_p", F.when(F.coalesce(flag, F.lit(False)), recentred(F.col(raw), float(threshold), float(offset))).otherwise(F.lit(0.0)))
         smooth = shifted.withColumn("_p", causal_median("_p", key, order, k))
-        parts.append(final_states(smooth, key, order, "_p", params=own, keep=["target"]))
+        parts.append(final_states(smooth, key, order, "_p", quality, params=own, keep=["target"]))
     ends = parts[0]
     for p in parts[1:]:
         ends = ends.unionByName(p)

@@ -157,27 +157,33 @@ def candidates(axes: dict[str, Sequence], budget: int | None = None, seed: int =
     return out
 
 
-def cross_validated(df: DataFrame, features: Sequence[str], group: str, params: Sequence[Boosting], target: str = "target", n_folds: int = 3, repeats: int = 1, seed: int = 42, threshold: float = 0.5) -> pd.DataFrame:
-    """accuracy, std, fp_rate and nodes of each candidate over grouped folds, best first: accuracy, then steadiness, fewer false positives, smaller models, order."""
+def cross_validated(df: DataFrame, features: Sequence[str], group: str, params: Sequence[Boosting], target: str = "target", n_folds: int = 3, repeats: int = 1, seed: int = 42, threshold: float = 0.5, keys: Sequence[str] = ()) -> pd.DataFrame:
+    """accuracy, std, fp_rate and nodes of each candidate over grouped folds, best first: accuracy, then steadiness, fewer false positives, smaller models, order.
+
+    With keys of a row, folds that hold one class give way to stratified ones, and those to halves; without, they are left out.
+    """
     out = []
+    dealings = []
+    for r in range(repeats):
+        dealt, kind = folds.with_fallback(df, group, list(keys), target, n_folds, seed + r) if keys else (folds.hashed(df, group, n_folds, seed + r), group)
+        dealings.append((dealt, kind, [x["fold"] for x in folds.legal(dealt, target).orderBy("fold").collect()]))
     for rank, p in enumerate(params):
         scores = []
-        for r in range(repeats):
-            dealt = folds.hashed(df, group, n_folds, seed + r)
-            for k in [x["fold"] for x in folds.legal(dealt, target).orderBy("fold").collect()]:
+        for dealt, _, legal in dealings:
+            for k in legal:
                 model = trees.fit(dealt.where(F.col("fold") != k), features, target, p)
                 row = metrics.evaluated(trees.scored(dealt.where(F.col("fold") == k), model), (F.col("prob") >= threshold).cast("int"), F.col(target)).first()
                 scores.append((row["accuracy"], row["fp"] / max(1, row["fp"] + row["tn"]), model.n_nodes))
         a = np.array(scores, float).reshape(-1, 3)
-        out.append({"rank": rank, "accuracy": a[:, 0].mean() if len(a) else 0.0, "std": a[:, 0].std() if len(a) else 0.0, "fp_rate": a[:, 1].mean() if len(a) else 1.0, "nodes": a[:, 2].mean() if len(a) else 0.0, "n_splits": len(a)})
+        out.append({"rank": rank, "accuracy": a[:, 0].mean() if len(a) else 0.0, "std": a[:, 0].std() if len(a) else 0.0, "fp_rate": a[:, 1].mean() if len(a) else 1.0, "nodes": a[:, 2].mean() if len(a) else 0.0, "n_splits": len(a), "folds": dealings[0][1]})
     return pd.DataFrame(out).sort_values(["accuracy", "std", "fp_rate", "nodes", "rank"], ascending=[False, True, True, True, True], ignore_index=True)
 
 
-def searched(df: DataFrame, features: Sequence[str], group: str, params: Sequence[Boosting], target: str = "target", keep: int = 3, n_folds: int = 3, repeats: int = 2) -> tuple[Boosting, pd.DataFrame]:
+def searched(df: DataFrame, features: Sequence[str], group: str, params: Sequence[Boosting], target: str = "target", keep: int = 3, n_folds: int = 3, repeats: int = 2, keys: Sequence[str] = ()) -> tuple[Boosting, pd.DataFrame]:
     """All candidates on one repeat, the best of them and the default on all; another than the default is taken only if it is strictly more accurate."""
-    first = cross_validated(df, features, group, params, target, n_folds, 1)
+    first = cross_validated(df, features, group, params, target, n_folds, 1, keys=keys)
     finalists = list(dict.fromkeys([0, *first["rank"].head(keep)]))
-    second = cross_validated(df, features, group, [params[i] for i in finalists], target, n_folds, repeats)
+    second = cross_validated(df, features, group, [params[i] for i in finalists], target, n_folds, repeats, keys=keys)
     best, default = second.iloc[0], second[second["rank"] == 0].iloc[0]
     chosen = finalists[int(best["rank"])] if best["accuracy"] > default["accuracy"] else finalists[0]
     return params[chosen], second
@@ -195,11 +201,11 @@ def out_of_fold(df: DataFrame, features: Sequence[str], group: str, p: Boosting,
     return dealt.withColumn("prob", prob)
 
 
-def counted(df: DataFrame, ranked: Sequence[str], counts: Sequence[int], group: str, p: Boosting, target: str = "target", n_folds: int = 3) -> pd.DataFrame:
+def counted(df: DataFrame, ranked: Sequence[str], counts: Sequence[int], group: str, p: Boosting, target: str = "target", n_folds: int = 3, keys: Sequence[str] = ()) -> pd.DataFrame:
     """Cross-validated records of the first features of a ranking, for each count; best first, fewer at a tie."""
     out = []
     for n in dict.fromkeys(min(c, len(ranked)) for c in counts):
-        out.append(cross_validated(df, ranked[:n], group, [p], target, n_folds).iloc[0].to_dict() | {"count": n})
+        out.append(cross_validated(df, ranked[:n], group, [p], target, n_folds, keys=keys).iloc[0].to_dict() | {"count": n})
     return pd.DataFrame(out).sort_values(["accuracy", "std", "fp_rate", "count"], ascending=[False, True, True, True], ignore_index=True)
 
 

@@ -150,12 +150,21 @@ class Boosting:
     bins: int = 64
     positive_weight: float = 1.0
     base_score: float = 0.5
+    #: L1 penalty of leaves; shares of rows and of columns that a tree sees, drawn by the seed.
+    alpha: float = 0.0
+    subsample: float = 1.0
+    columns: float = 1.0
+    seed: int = 42
+
+
+def _shrunk(g: np.ndarray | float, alpha: float) -> np.ndarray | float:
+    return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
 
 
 def _best_split(g: np.ndarray, h: np.ndarray, miss: tuple[float, float], p: Boosting) -> tuple[float, int, bool] | None:
     """Gain, last bin on the left, and whether the missing go left; from a node's sums by bin."""
     all_g, all_h = g.sum() + miss[0], h.sum() + miss[1]
-    score = lambda a, b: a * a / np.maximum(b + p.ridge, 1e-300)
+    score = lambda a, b: _shrunk(a, p.alpha) ** 2 / np.maximum(b + p.ridge, 1e-300)
     best = None
     for left in (True, False):
         lg, lh = np.cumsum(g)[:-1] + left * miss[0], np.cumsum(h)[:-1] + left * miss[1]
@@ -191,15 +200,22 @@ def fit(df: DataFrame, features: Sequence[str], target: str, p: Boosting | None
     w = F.when(F.col(target) == 1, w * p.positive_weight).otherwise(w)
     values = df.select(F.col(target).cast("double").alias("y"), w.alias("w"), *[finite(F.col(c).cast("double")).cast("float").alias(f"x{i}") for i, c in enumerate(features)])
     bins = [bin_number(F.col(f"x{i}"), edges[c]).cast("short").alias(f"b{i}") for i, c in enumerate(features)]
-    rows = staged(values.select("y", "w", F.lit(math.log(p.base_score / (1 - p.base_score))).alias("m"), *bins), "bins")
+    # Rows are drawn by a hash of their values, so a sample is the same however the table is dealt out.
+    drawn = [F.xxhash64("y", "w", *[f"x{i}" for i in range(len(features))]).alias("u")] if p.subsample < 1 else []
+    rows = staged(values.select("y", "w", *drawn, F.lit(math.log(p.base_score / (1 - p.base_score))).alias("m"), *bins), "bins")
     listed = F.array(*[F.struct(F.lit(i).alias("f"), F.coalesce(f"b{i}", F.lit(-1)).alias("b")) for i in range(len(features))])
     model, over_bins = Ensemble([], p.base_score), []
 
-    for _ in range(p.rounds):
+    for t in range(p.rounds):
+        seen = range(len(features))
+        if p.columns < 1:
+            seen = sorted(np.random.default_rng((p.seed, t)).choice(len(features), max(1, round(p.columns * len(features))), replace=False).tolist())
         margin = sum((expression(t) for t in over_bins), F.col("m"))
         if len(over_bins) == WRITTEN:
             rows, over_bins, margin = staged(rows.withColumn("m", margin), "bins"), [], F.col("m")
         graded = rows.withColumn("p", 1 / (1 + F.exp(-margin))).withColumn("g", F.col("w") * (F.col("p") - F.col("y"))).withColumn("h", F.col("w") * F.col("p") * (1 - F.col("p")))
+        if p.subsample < 1:
+            graded = graded.where(F.pmod(F.xxhash64(F.lit(p.seed), F.lit(t), "u"), F.lit(1 << 30)) < int(p.subsample * (1 << 30)))
         nodes: list[Split | Leaf] = [Leaf(0.0)]
         twins: list[Split | Leaf] = [Leaf(0.0)]  # the same splits over bins
         open_ = [0]
@@ -217,9 +233,9 @@ def fit(df: DataFrame, features: Sequence[str], target: str, p: Boosting | None
             new = []
             for k in open_:
                 all_g, all_h = g[k][0].sum(), h[k][0].sum()
-                nodes[k] = twins[k] = Leaf(float(-p.rate * all_g / max(all_h + p.ridge, 1e-300)), float(all_h))
+                nodes[k] = twins[k] = Leaf(float(-p.rate * _shrunk(all_g, p.alpha) / max(all_h + p.ridge, 1e-300)), float(all_h))
                 found = None
-                for i in range(len(features) if level < p.depth else 0):
+                for i in seen if level < p.depth else ():
                     got = _best_split(g[k][i][:-1], h[k][i][:-1], (g[k][i][-1], h[k][i][-1]), p)
                     if got and (found is None or got[0] > found[0][0] + 1e-12):
                         found = got, i
