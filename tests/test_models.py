@@ -267,3 +267,39 @@ def test_grids_and_scales():
     assert len(grids.state_machine_grid()) == 2520
     assert features.by_scale(["PPG_mean", "EMG0_ZC"]) == (["PPG_mean"], ["EMG0_ZC"]) and features.deployable(["PPG_mean", "x"]) == (["PPG_mean"], ["x"])
     assert features.SCALE_DEPENDENT <= set(features.NAMES)
+
+
+def test_correlations_of_many_features(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 5)) * [1, 10, 1e-3, 1, 1] + [0, 1e7, 5, 0, 3]
+    x[:, 3] += 2 * x[:, 0]
+    rows = [[None if rng.random() < 0.2 and j != 1 else float(v) for j, v in enumerate(r)] + [7.1, float("inf") if i == 3 else 1.0 * i, None] for i, r in enumerate(x)]
+    names = [f"x{i}" for i in range(8)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
+    want = {(r["feature_a"], r["feature_b"]): r["r"] for r in stats.correlations(df, names).collect()}
+    monkeypatch.setattr(stats, "WIDE", 2)
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in stats.correlations(df, names).collect()}
+    assert got.keys() == want.keys() and len(got) == 28
+    for k, r in want.items():
+        if r is None or r != r:
+            assert got[k] is None or got[k] != got[k], k
+        else:
+            assert got[k] == pytest.approx(r, abs=1e-9), k
+    assert [r["r"] for r in stats.correlations(df.where("x0 > 1e9"), names).collect()] == [None] * 28
+
+
+def test_correlations_of_241_features(spark):
+    names = [f"c{i}" for i in range(241)]
+    df = spark.range(300).select(*[(F.hash(F.col("id"), F.lit(i // 2)) + F.lit(i % 2)).cast("double").alias(c) for i, c in enumerate(names)])
+    m = stats.correlation_matrix(df, names)
+    assert m[0, 1] == pytest.approx(1.0) and abs(m[0, 2]) < 0.3 and m.shape == (241, 241)
+    assert stats.correlations(df, names).count() == 241 * 240 // 2
+
+
+def test_attributions_of_columns_are_those_of_rows():
+    tree = trees.from_rows(trees.parsed_dump([DUMP], ["first", "second"])).trees[0]
+    x = {"first": np.array([1.0, 50.0, float("nan"), float("inf"), 4.9]), "second": np.array([0.0, 0.5, float("nan"), 0.1, float("nan")])}
+    whole = selection.attributions(tree, x, ["first", "second"])
+    for i in range(5):
+        one = selection.attributions(tree, {k: float(v[i]) for k, v in x.items()}, ["first", "second"])
+        assert all(whole[f][i] == pytest.approx(float(one[f])) for f in one)

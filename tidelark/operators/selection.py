@@ -80,15 +80,16 @@ def stability(df: DataFrame, features: Sequence[str], group: str, target: str =
     return ranking.stability(spark.createDataFrame(rows, "fold string, feature string, importance double"), listed, top)
 
 
-def attributions(tree: Tree, x: dict[str, float], names: Sequence[str]) -> dict[str, float]:
-    """Shapley values of one row in one tree, over expectations weighted by cover: exact, by the paths to leaves.
+def attributions(tree: Tree, x: dict[str, float | np.ndarray], names: Sequence[str]) -> dict[str, float | np.ndarray]:
+    """Shapley values of one row in one tree, or of all rows of columns, over expectations weighted by cover: exact, by the paths to leaves.
 
     A leaf's path asks for some features; its value is shared among them by
     whether the row, and what share of the cover, goes that way.
     """
     out = dict.fromkeys(names, 0.0)
+    values = {f: np.asarray(x[f], dtype=np.float32) for f in {n.feature for n in tree.nodes if not isinstance(n, Leaf)}}
 
-    def walk(at: int, asked: dict[str, tuple[float, float]]) -> None:
+    def walk(at: int, asked: dict[str, tuple[float | np.ndarray, float]]) -> None:
         n = tree.nodes[at]
         if isinstance(n, Leaf):
             items = list(asked.items())
@@ -100,8 +101,8 @@ def attributions(tree: Tree, x: dict[str, float], names: Sequence[str]) -> dict[
                     weight = factorial(s) * factorial(m - s - 1) / factorial(m)
                     out[f] += n.value * weight * prod(o if k else z for k, (o, z) in zip(mask, others)) * (one - zero)
             return
-        v = np.float32(x[n.feature]) if np.isfinite(x[n.feature]) else None
-        goes = n.missing if v is None else n.yes if v < np.float32(n.threshold) else n.no
+        v = values[n.feature]
+        goes = np.where(np.isfinite(v), np.where(v < np.float32(n.threshold), n.yes, n.no), n.missing)
         total = tree.nodes[n.yes].cover + tree.nodes[n.no].cover
         for child in (n.yes, n.no):
             one, zero = asked.get(n.feature, (1.0, 1.0))
@@ -113,21 +114,18 @@ def attributions(tree: Tree, x: dict[str, float], names: Sequence[str]) -> dict[
 
 
 def shapley(df: DataFrame, model: Ensemble, features: Sequence[str]) -> DataFrame:
-    """feature, importance: mean size of the attributions over all rows."""
+    """feature, importance: mean size of the attributions over all rows, a batch of them at a time."""
     ship(df.sparkSession)
     names = list(features)
 
     def run(batches):
         for pdf in batches:
-            total = dict.fromkeys(names, 0.0)
-            for row in pdf.to_dict("records"):
-                sums = dict.fromkeys(names, 0.0)
-                for t in model.trees:
-                    for f, v in attributions(t, row, names).items():
-                        sums[f] += v
-                for f in names:
-                    total[f] += abs(sums[f])
-            yield pd.DataFrame({"feature": names, "total": [total[f] for f in names], "n": len(pdf)})
+            columns = {f: pdf[f].to_numpy(float) for f in names}
+            sums = {f: np.zeros(len(pdf)) for f in names}
+            for t in model.trees:
+                for f, v in attributions(t, columns, names).items():
+                    sums[f] += v
+            yield pd.DataFrame({"feature": names, "total": [float(np.abs(sums[f]).sum()) for f in names], "n": len(pdf)})
 
     parts = df.select(*[F.col(f).cast("double") for f in names]).mapInPandas(run, "feature string, total double, n long")
     return parts.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("importance"))

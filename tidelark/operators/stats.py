@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelark.operators.grids import bin_found, bin_number
+from tidelark.session import ship
 
 
 def finite(c: str | Column) -> Column:
@@ -138,14 +140,66 @@ def low_variance(df: DataFrame, features: Sequence[str], least: float = 1e-8) ->
     return stats.withColumn("kept", F.coalesce(F.col("variance") > least, F.lit(False)))
 
 
+#: Up to so many features each pair is an aggregate of the plan; beyond, code for all pairs would be too much and blocks of rows are multiplied.
+WIDE = 32
+
+
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """feature_a, feature_b, r for each pair, from one aggregation without a shuffle of rows."""
+    """feature_a, feature_b, r for each pair over rows that hold both, from one aggregation without a shuffle of rows.
+
+    Null where a feature is constant or no row holds both, NaN where such a row isn't finite.
+    """
+    if len(features) > WIDE:
+        return _multiplied(df, features)
     pairs = list(combinations(features, 2))
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+
+    def corr(a: str, b: str) -> Column:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")  # F.corr fails on a constant
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+
+    row = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     listed = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
     return row.select(F.expr(f"stack({len(pairs)}, {listed}) as (feature_a, feature_b, r)"))
 
 
+def _multiplied(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The same by products of blocks: a partition hands on its sums alone, one row for each feature and one place in it for each other."""
+    ship(df.sparkSession)
+    names, n = list(features), len(features)
+    x = df.select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(names)])
+    # products of values far from 0 would lose the digits that tell them apart
+    centre = x.agg(*[F.avg(finite(c)).alias(c) for c in x.columns]).first()
+    middle = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in centre])
+
+    def run(batches):
+        sums = {k: np.zeros((n, n)) for k in ("n", "x", "xx", "xy", "bad")}
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            there = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).T.astype(float)
+            a = np.array(rows).T
+            fine = np.isfinite(a)
+            bad, v = (there > 0) & ~fine, np.where(fine, a - middle, 0.0)
+            sums["n"] += there.T @ there
+            sums["x"] += v.T @ there
+            sums["xx"] += (v * v).T @ there
+            sums["xy"] += v.T @ v
+            sums["bad"] += bad.T.astype(float) @ there
+        yield pa.RecordBatch.from_pydict({"i": np.arange(n, dtype=np.int32)} | {k: list(m) for k, m in sums.items()})
+
+    kinds = ("n", "x", "xx", "xy", "bad")
+    none = df.sparkSession.range(n).select(F.col("id").cast("int").alias("i"), *[F.array_repeat(F.lit(0.0), n).alias(k) for k in kinds])  # every pair is there without rows too
+    parts = x.mapInArrow(run, "i int, " + ", ".join(f"`{k}` array<double>" for k in kinds)).union(none)
+    each = parts.select("i", F.posexplode(F.arrays_zip(*kinds)).alias("j", "s")).groupBy("i", "j").agg(*[F.sum(f"s.{k}").alias(k) for k in kinds])
+    other = each.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("x").alias("y"), F.col("xx").alias("yy"), F.col("bad").alias("worse"))
+    both = each.where("i < j").join(other, ["i", "j"])
+    var = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    # what rounding leaves of a constant's squares is no variation
+    some = lambda s, ss: (F.col("n") > 0) & (var(s, ss) > 1e-12 * F.col(ss))
+    r = F.when(F.col("bad") + F.col("worse") > 0, float("nan")).when(some("x", "xx") & some("y", "yy"), (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(var("x", "xx") * var("y", "yy")))
+    named = F.array(*[F.lit(c) for c in names])
+    return both.select(F.get(named, "i").alias("feature_a"), F.get(named, "j").alias("feature_b"), r.alias("r"))
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
     """Of the features; 0 where one is constant. Its size is the number of features squared, whatever the rows."""
     out = np.eye(len(features))
@@ -191,7 +245,9 @@ def pruned_by_vif(df: DataFrame, features: Sequence[str], above: float = 10.0) -
 
 
 def vif_of_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return correlations(df, features).withColumn("vif", F.greatest(F.lit(1.0), 1 / (1 - F.col("r") * F.col("r"))))
+    """Infinite for a pair that is one line; 1 where a feature is constant."""
+    r = F.col("r")
+    return correlations(df, features).withColumn("vif", F.when(F.abs(r) >= 1, float("inf")).otherwise(F.greatest(F.lit(1.0), F.try_divide(F.lit(1.0), 1 - r * r))))
 
 
 def cleaned(train: DataFrame, features: Sequence[str], target: str, missing: float = 0.3, variance: float = 1e-8, alike: float = 0.9, inflation: float = 10.0) -> tuple[list[str], dict[str, list[str]], dict[str, float]]:

@@ -176,7 +176,16 @@ def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postprocess.tag_summary(_tags(spark, sf_dir))
 
 
-@query()
+def _listed(values, kind: str) -> str:
+    return f"unnest([{', '.join(map(str, values))}]::{kind}[])"
+
+
+@query(f"""WITH g AS (SELECT o.v AS threshold_offset, a.v AS alpha, t.v AS t_on, f.v AS t_off, k.v AS k_on, l.v AS k_off, c.v AS cooldown, m.v AS median_k, row_number() OVER (ORDER BY o.v, a.v, t.v, f.v, k.v, l.v, c.v, m.v) - 1 AS i, count(*) OVER () AS n
+ FROM (SELECT {_listed([-0.05, 0.0, 0.05], 'DOUBLE')} AS v) o, (SELECT {_listed([0.25, 0.4, 0.6], 'DOUBLE')} AS v) a, (SELECT {_listed([0.55, 0.65, 0.75], 'DOUBLE')} AS v) t, (SELECT {_listed([0.20, 0.35, 0.45], 'DOUBLE')} AS v) f,
+ (SELECT {_listed([1, 2, 3, 5], 'INT')} AS v) k, (SELECT {_listed([1, 2, 3, 5], 'INT')} AS v) l, (SELECT {_listed([0, 2, 5], 'INT')} AS v) c, (SELECT {_listed([1, 3, 5], 'INT')} AS v) m WHERE f.v < t.v),
+r AS (SELECT *, CASE WHEN i = 0 THEN 0 WHEN i = n // 2 THEN 1 WHEN i = n - 1 THEN 2 ELSE 3 END AS first FROM g),
+p AS (SELECT *, row_number() OVER (ORDER BY first, abs(threshold_offset), k_on, -k_off, t_on - t_off, median_k, cooldown, alpha, i) - 1 AS place FROM r)
+SELECT CAST(place AS INT) AS place, threshold_offset, alpha, t_on, t_off, k_on, k_off, cooldown, median_k FROM p WHERE place < 120""")
 def postprocess_grid_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated grid and the order a budget takes it in; reads no table."""
     chosen = grids.budgeted(grids.postprocess_grid((-0.05, 0.0, 0.05)), 120)
@@ -189,11 +198,24 @@ def per_sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("sample", "target").agg(F.count("*").alias("total_windows"), F.count_if((F.col("prob") >= THRESHOLD).cast("int") == F.col("target")).alias("correct_windows"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WINDOWS}, x AS (SELECT sample, least(greatest(prob - {THRESHOLD} + 0.5, 0), 1) AS p, row_number() OVER (PARTITION BY sample ORDER BY win) AS n FROM win),
+g AS (SELECT a.v AS alpha, t.v AS t_on, f.v AS t_off, k.v AS k_on, l.v AS k_off, c.v AS cooldown FROM (SELECT {_listed([0.2, 0.3, 0.4, 0.5, 0.6], 'DOUBLE')} AS v) a, (SELECT {_listed([0.5, 0.6, 0.7, 0.8], 'DOUBLE')} AS v) t, (SELECT {_listed([0.2, 0.3, 0.4], 'DOUBLE')} AS v) f,
+ (SELECT {_listed([3, 5, 7, 10, 15], 'INT')} AS v) k, (SELECT {_listed([3, 5, 7, 10], 'INT')} AS v) l, (SELECT {_listed([2, 5, 10], 'INT')} AS v) c WHERE f.v < t.v AND k.v >= l.v),
+m(sample, n, alpha, t_on, t_off, k_on, k_off, cooldown, state, score, on_c, off_c, since) AS (
+ SELECT sample, CAST(0 AS BIGINT), alpha, t_on, t_off, k_on, k_off, cooldown, 0, CAST(0 AS DOUBLE), 0, 0, 999 FROM (SELECT DISTINCT sample FROM x), g
+ UNION ALL
+ SELECT sample, n, alpha, t_on, t_off, k_on, k_off, cooldown, CASE WHEN flips THEN 1 - state ELSE state END, score, CASE WHEN flips THEN 0 ELSE on_c END, CASE WHEN flips THEN 0 ELSE off_c END, CASE WHEN flips THEN 0 ELSE since END FROM (
+  SELECT *, since >= cooldown AND CASE WHEN state = 0 THEN on_c >= k_on ELSE off_c >= k_off END AS flips FROM (
+   SELECT * REPLACE (CASE WHEN state = 0 THEN CASE WHEN score > t_on THEN on_c + 1 ELSE greatest(on_c - 1, 0) END ELSE on_c END AS on_c, CASE WHEN state = 1 THEN CASE WHEN score < t_off THEN off_c + 1 ELSE greatest(off_c - 1, 0) END ELSE off_c END AS off_c) FROM (
+    SELECT s.sample, x.n, s.alpha, s.t_on, s.t_off, s.k_on, s.k_off, s.cooldown, s.state, s.alpha * x.p + (1 - s.alpha) * s.score AS score, s.on_c, s.off_c, s.since + 1 AS since FROM m s JOIN x ON x.sample = s.sample AND x.n = s.n + 1)))),
+e AS (SELECT m.*, CAST(sample % 2 AS INT) AS target, state AS pred FROM m JOIN (SELECT sample, max(n) AS n FROM x GROUP BY sample) USING (sample, n)),
+c AS (SELECT alpha, t_on, t_off, k_on, k_off, cooldown, {CELLS} FROM e GROUP BY alpha, t_on, t_off, k_on, k_off, cooldown), r AS (SELECT *, {RATES} FROM c)
+SELECT alpha, t_on, t_off, k_on, k_off, cooldown, tn, fp, fn, tp, accuracy, precision, recall, f1 FROM r
+ORDER BY recall >= 0.9 DESC, CASE WHEN recall >= 0.9 THEN f1 ELSE recall END DESC, f1 DESC, alpha, t_on, t_off, k_on, k_off, cooldown LIMIT 1""")
 def state_machine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state machine's own grid, whole: the highest F1 among sets of sufficient recall."""
     grid = grids.state_machine_grid()
     w = window_features(spark, sf_dir).withColumn("p", postprocess.recentred(F.col("prob"), THRESHOLD))
     ends = postprocess.final_states(w, "sample", ["window"], "p", params=grid, keep=["target"])
     names = list(grid[0])
-    return postprocess.constrained(metrics.evaluated(ends, F.col("state"), F.col("target"), names), names, 0.9)
+    return rounded_rates(postprocess.constrained(metrics.evaluated(ends, F.col("state"), F.col("target"), names), names, 0.9), *names)

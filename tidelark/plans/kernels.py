@@ -29,14 +29,20 @@ def mapped(df: DataFrame, make: Callable[[np.ndarray], dict[str, np.ndarray]], s
     return df.select("sample", "a").mapInPandas(run, f"sample bigint, {schema}")
 
 
-@query()
+@query(f"""WITH {EMB}, mu AS (SELECT sample, avg(v) AS mu FROM emb GROUP BY sample), w AS (SELECT sample, idx, v - mu AS c, (v - mu) * (0.54 - 0.46 * cos(2 * pi() * idx / 63)) AS x FROM emb JOIN mu USING (sample)),
+k AS (SELECT unnest(range(0, 129)) AS k), d AS (SELECT sample, k, sqrt(pow(sum(x * cos(2 * pi() * k * idx / 256)), 2) + pow(sum(x * sin(2 * pi() * k * idx / 256)), 2)) AS amp FROM w, k WHERE k * 100.0 / 256 BETWEEN 5 AND 40 GROUP BY sample, k),
+f AS (SELECT sample, arg_max(k * 100.0 / 256, amp) AS dom_freq, max(amp) / (quantile_cont(amp, 0.5) + 1e-12) AS peak_ratio FROM d GROUP BY sample),
+z AS (SELECT sample, sum(c * c) AS z FROM w GROUP BY sample), r AS (SELECT a.sample, b.idx - a.idx AS lag, sum(a.c * b.c) AS r FROM w a JOIN w b ON a.sample = b.sample AND b.idx - a.idx BETWEEN 4 AND 32 GROUP BY a.sample, b.idx - a.idx),
+q AS (SELECT sample, max(CASE WHEN z < 1e-12 THEN 0.0 ELSE r / (z + 1e-12) END) AS periodicity FROM r JOIN z USING (sample) GROUP BY sample)
+SELECT sample, CAST(round(dom_freq, 6) AS DOUBLE) AS dom_freq, round(peak_ratio, 6) AS peak_ratio, round(periodicity, 6) AS periodicity FROM f JOIN q USING (sample)""")
 def fft_band_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(x):
         freqs, amp = K.spectrum(x, 100.0)
         own = amp[:, (freqs >= 5) & (freqs <= 40)]
         return {"dom_freq": freqs[(freqs >= 5) & (freqs <= 40)][own.argmax(axis=1)], "peak_ratio": own.max(axis=1) / (np.median(own, axis=1) + K.EPS), "periodicity": K.autocorrelation(x)[:, 4:33].max(axis=1)}
 
-    return mapped(embedded(spark, sf_dir), make, "dom_freq double, peak_ratio double, periodicity double")
+    rows = mapped(embedded(spark, sf_dir), make, "dom_freq double, peak_ratio double, periodicity double")
+    return rows.select("sample", *[r6(c).alias(c) for c in ("dom_freq", "peak_ratio", "periodicity")])
 
 
 @query(f"""WITH {EMB}, seg AS (SELECT sample, s, idx - s * 16 AS t, v FROM emb, (SELECT unnest([0, 1, 2]) AS s) WHERE idx >= s * 16 AND idx < s * 16 + 32), mu AS (SELECT sample, s, avg(v) AS mu FROM seg GROUP BY sample, s),
@@ -61,13 +67,22 @@ def filtered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped(embedded(spark, sf_dir), make, "low double, high double, stopped double, notched double, median double, slow double")
 
 
-@query()
+@query(f"""WITH {EMB}, half AS (SELECT sample, idx // 32 AS side, idx % 32 AS t, v FROM emb), seg AS (SELECT sample, side, s, t - s * 8 AS t, v FROM half, (SELECT unnest([0, 1, 2]) AS s) WHERE t >= s * 8 AND t < s * 8 + 16),
+mu AS (SELECT sample, side, s, avg(v) AS mu FROM seg GROUP BY sample, side, s), w AS (SELECT sample, side, s, t, (v - mu) * (0.5 - 0.5 * cos(2 * pi() * t / 16)) AS x FROM seg JOIN mu USING (sample, side, s)), k AS (SELECT unnest(range(0, 9)) AS k),
+d AS (SELECT sample, side, s, k, sum(x * cos(2 * pi() * k * t / 16)) AS re, -sum(x * sin(2 * pi() * k * t / 16)) AS im FROM w, k GROUP BY sample, side, s, k),
+c AS (SELECT sample, k, avg(a.re * b.re + a.im * b.im) AS re, avg(a.im * b.re - a.re * b.im) AS im, avg(a.re * a.re + a.im * a.im) * avg(b.re * b.re + b.im * b.im) AS down FROM (SELECT * FROM d WHERE side = 0) a JOIN (SELECT * FROM d WHERE side = 1) b USING (sample, s, k) GROUP BY sample, k),
+f AS (SELECT sample, k, CASE WHEN down > 0 THEN (re * re + im * im) / down ELSE 0.0 END AS c FROM c),
+own AS (SELECT sample, side, avg(v) AS mu, stddev_pop(v) AS sd FROM half GROUP BY sample, side), x AS (SELECT sample, side, t, v - mu AS v FROM half JOIN own USING (sample, side)),
+lagged AS (SELECT a.sample, a.t - b.t AS lag, abs(sum(a.v * b.v)) AS r FROM (SELECT * FROM x WHERE side = 0) a JOIN (SELECT * FROM x WHERE side = 1) b ON a.sample = b.sample AND a.t - b.t BETWEEN -8 AND 8 GROUP BY a.sample, a.t - b.t),
+scale AS (SELECT sample, 32 * product(sd) AS sd FROM own GROUP BY sample), l AS (SELECT sample, CASE WHEN any_value(sd) > 1e-12 THEN max(r) / any_value(sd) ELSE 0.0 END AS largest FROM lagged JOIN scale USING (sample) GROUP BY sample)
+SELECT sample, round(avg(c) FILTER (k <= 2), 6) AS low, round(avg(c) FILTER (k > 2), 6) AS high, round(any_value(largest), 6) AS largest_lagged FROM f JOIN l USING (sample) GROUP BY sample""")
 def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(x):
         freqs, c = K.coherence(x[:, :32], x[:, 32:], 100.0, 16)
         return {"low": c[:, freqs <= 12.5].mean(axis=1), "high": c[:, freqs > 12.5].mean(axis=1), "largest_lagged": K.largest_correlation(x[:, :32], x[:, 32:], 8)}
 
-    return mapped(embedded(spark, sf_dir), make, "low double, high double, largest_lagged double")
+    rows = mapped(embedded(spark, sf_dir), make, "low double, high double, largest_lagged double")
+    return rows.select("sample", *[r6(c).alias(c) for c in ("low", "high", "largest_lagged")])
 
 
 @query(f"""WITH {EMB}, n AS (SELECT *, lag(v) OVER w AS u, lead(v) OVER w AS t FROM emb WINDOW w AS (PARTITION BY sample ORDER BY idx)) SELECT sample, count(*) FILTER (v > u AND v > t) AS peaks, round(avg(v) FILTER (v > u AND v > t), 6) AS height FROM n GROUP BY sample""")
