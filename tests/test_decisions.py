@@ -129,3 +129,15 @@ def test_search_takes_the_best_of_the_whole_grid(spark):
         best = min(best, rank) if best else rank
     got = state_machine_search(spark, sf).collect()
     assert [tuple(r[k] for k in grid[0]) for r in got] == [best[3:]]
+
+
+def test_many_sets_end_as_few_do(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(s, i, None if (s, i) == (1, 4) else float("nan") if (s, i) == (2, 3) else rng.random(), rng.choice([0.5, 1.0])) for s in range(9) for i in range(1 + 5 * s)]
+    df = spark.createDataFrame(rows, "sample int, i int, p double, q double")
+    params = grids.state_machine_grid()[::97]
+    ends = lambda: {tuple(r)[:7]: (r["state"], repr(r["score"])) for r in postprocess.final_states(df, "sample", ["i"], "p", "q", params=params).collect()}
+    few = ends()
+    monkeypatch.setattr(postprocess, "MANY", 1)
+    monkeypatch.setattr(postprocess, "TOGETHER", 4)
+    assert ends() == few and len(few) == 9 * len(params)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,14 +84,18 @@ def final_states(df: DataFrame, key: str, order: Sequence[str], prob: str, quali
     """key, keep, state, score after a sample's last window; with params (alpha, t_on, t_off, k_on, k_off, cooldown), for each set.
 
     A sample's windows meet once, as an array of two doubles each, and all
-    parameter sets fold over that array. Samples are recordings: bounded.
+    parameter sets fold over that array; many of them in Arrow batches. A
+    missing probability counts as 0, as behind a closed gate, a missing
+    quality as 1. Samples are recordings: bounded.
     """
     q = F.col(quality) if quality else F.lit(1.0)
-    item = F.struct(*[F.col(c) for c in order], F.col(prob).cast("double").alias("p"), q.cast("double").alias("q"))
+    item = F.struct(*[F.col(c) for c in order], F.coalesce(F.col(prob).cast("double"), F.lit(0.0)).alias("p"), F.coalesce(q.cast("double"), F.lit(1.0)).alias("q"))
     grouped = df.groupBy(key, *keep).agg(F.array_sort(F.collect_list(item)).alias("_all"))
     steps = F.transform("_all", lambda s: F.struct(s["p"].alias("p"), s["q"].alias("q")))
     grouped = grouped.select(key, *keep, steps.alias("_steps"))
     m = machine or Hysteresis()
+    if params and len(params) > MANY:
+        return _walked(grouped, [key, *keep], params, m.stride)
     if params:
         rows = each(grouped, params)
         args = [F.col(c) for c in ("alpha", "t_on", "t_off", "k_on", "k_off")] + [F.floor(F.col("cooldown") / F.lit(float(m.stride))).cast("int")]
@@ -101,6 +106,51 @@ def final_states(df: DataFrame, key: str, order: Sequence[str], prob: str, quali
     return rows.withColumn("_end", fold(F.col("_steps"), *args)).select(key, *keep, *names, F.col("_end.state").alias("state"), F.col("_end.score").alias("score"))
 
 
+#: From so many parameter sets on, the fold over arrays, which the engine interprets, is slower than arrays of all sets at once.
+MANY = 64
+#: Samples that step together with all sets.
+TOGETHER = 64
+
+
+def _walked(grouped: DataFrame, names: Sequence[str], params: Sequence[dict], stride: float) -> DataFrame:
+    """The ends of fold() for many sets: samples step together, each with every set, in Arrow batches."""
+    ship(grouped.sparkSession)
+    fields = list(params[0])
+    alpha, t_on, t_off, k_on, k_off = (np.array([p[c] for p in params])[None, :] for c in ("alpha", "t_on", "t_off", "k_on", "k_off"))
+    wait = np.array([int(np.floor(p["cooldown"] / float(stride))) for p in params])[None, :]
+    columns = {c: np.array([p[c] for p in params]) for c in fields}
+    kinds = {c: "int" if all(type(p[c]) is int for p in params) else "double" for c in fields}
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, len(whole), TOGETHER):
+                pdf = whole.iloc[first : first + TOGETHER]
+                steps = [[(s["p"], s["q"]) for s in x] for x in pdf["_steps"]]
+                shape = (len(pdf), len(params))
+                state, on, off, since = (np.full(shape, v, np.int32) for v in (0, 0, 0, LONG_AGO))
+                score = np.zeros(shape)
+                for t in range(max(map(len, steps))):
+                    here = np.array([t < len(x) for x in steps])[:, None]
+                    p, q = (np.array([[x[t][k] if t < len(x) else 0.0] for x in steps]) for k in (0, 1))
+                    rate = alpha * q
+                    score = np.where(here, rate * p + (1 - rate) * score, score)
+                    since = since + here
+                    high, low = ~(score <= t_on), score < t_off  # NaN is above every number
+                    on = np.where(here & (state == 0), np.where(high, on + 1, np.maximum(on - 1, 0)), on)
+                    off = np.where(here & (state == 1), np.where(low, off + 1, np.maximum(off - 1, 0)), off)
+                    flips = here & (since >= wait) & np.where(state == 0, on >= k_on, off >= k_off)
+                    state, on, off, since = np.where(flips, 1 - state, state), np.where(flips, 0, on), np.where(flips, 0, off), np.where(flips, 0, since)
+                out = pdf[names].loc[pdf.index.repeat(len(params))].reset_index(drop=True)
+                for c, v in columns.items():
+                    out[c] = np.tile(v, len(pdf))
+                out["state"], out["score"] = state.ravel(), score.ravel()
+                yield out
+
+    own = {f.name: f.dataType.simpleString() for f in grouped.schema}
+    schema = ", ".join(f"`{c}` {k}" for c, k in ({c: own[c] for c in names} | kinds | {"state": "int", "score": "double"}).items())
+    return grouped.mapInPandas(run, schema).withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # NaN becomes null on the way back
+
+
 def walk(probs, qualities, m: Hysteresis, state=(0, 0.0, 0, 0, LONG_AGO)):
     """States and scores step by step, and what to go on from: one loop serves the batch trace and the stream."""
     now, score, on, off, since = state
